@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .secrets import op6
+from .sharding import op5
 from .token_files import op1
+from .warc import OP2_SQL, op2
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1,
+    "op2_warc": op2,
+    "op5_sharding": op5,
+    "op6_secrets": op6,
+}
+ORACLES: dict[str, str] = {
+    "op2_warc": OP2_SQL,
 }
-ORACLES: dict[str, str] = {}

@@ -75,7 +75,7 @@ def open_output(uri: str):
     """A stream to a new file, for tasks. Names must hold the task attempt, so that no two attempts write one file."""
     system, path = file_system(uri)
     system.create_dir(posixpath.dirname(path), recursive=True)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
 
 
 def open_input(uri: str):
