@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import op10
 from .secrets import op6
 from .sharding import op5
 from .token_files import op1
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2,
     "op5_sharding": op5,
     "op6_secrets": op6,
+    "op10_language_id": op10,
 }
 ORACLES: dict[str, str] = {
     "op2_warc": OP2_SQL,
