@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language import op10
+from .quality import op3
 from .secrets import op6
 from .sharding import op5
 from .token_files import op1
@@ -15,6 +16,7 @@ from .warc import OP2_SQL, op2
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1,
     "op2_warc": op2,
+    "op3_quality": op3,
     "op5_sharding": op5,
     "op6_secrets": op6,
     "op10_language_id": op10,
