@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op8
 from .language import op10
 from .quality import op3
 from .secrets import op6
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3,
     "op5_sharding": op5,
     "op6_secrets": op6,
+    "op8_decontamination": op8,
     "op10_language_id": op10,
 }
 ORACLES: dict[str, str] = {
