@@ -21,7 +21,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -218,12 +217,8 @@ class Encoder:
 
     def _learn(self, words: set[str]) -> None:
         """Encode the pieces that are new, many in a call; a piece ends with an id whose token ends a word."""
-        if len(self.by_word) + len(words) > CACHE:
-            self.by_word.clear()
-        if len(self.by_piece) + len(words) > CACHE:
-            self.by_piece.clear()
         split = {w: self.piece.findall(w) for w in words}
-        new = sorted(set(chain.from_iterable(split.values())) - self.by_piece.keys())
+        new = sorted({p for pieces in split.values() for p in pieces if p not in self.by_piece})
         lines = [" ".join(new[k : k + 64]) for k in range(0, len(new), 64)]
         for k, found in enumerate(self.pieces_only.encode_batch_fast(lines, add_special_tokens=False)):
             own = new[64 * k : 64 * k + 64]
@@ -242,23 +237,21 @@ class Encoder:
             self.by_word[w] = get(pieces[0]) if len(pieces) == 1 else b"".join(map(get, pieces))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian uint32."""
+        """Each text's ids as little-endian uint32. Holds CACHE words and what the texts add."""
         out: list[bytes] = [b""] * len(texts)
-        slow = []
+        slow, quick, known = [], [], self.by_word
         for k, text in enumerate(texts):
-            if not text:
-                continue
-            if not self.short or self.odd.search(text):
+            if text and (not self.short or self.odd.search(text)):
                 slow.append(k)
-                continue
-            words = text.lower().split()
-            try:
-                out[k] = b"".join(map(self.by_word.__getitem__, words))
-            except KeyError:
-                self._learn(set(words) - self.by_word.keys())
-                if not all(w in self.by_word for w in set(words)):  # the cache was emptied
-                    self._learn(set(words) - self.by_word.keys())
-                out[k] = b"".join(map(self.by_word.__getitem__, words))
+            elif text:
+                quick.append((k, text.lower().split()))
+        if new := {w for _, words in quick for w in words if w not in known}:
+            self._learn(new)
+        for k, words in quick:
+            out[k] = b"".join(map(known.__getitem__, words))
+        for cache in (known, self.by_piece):
+            if len(cache) > CACHE:
+                cache.clear()
         for low in range(0, len(slow), 256):
             own = slow[low : low + 256]
             for k, found in zip(own, self.whole.encode_batch_fast([texts[i] for i in own], add_special_tokens=False), strict=True):
