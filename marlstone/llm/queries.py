@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op8
+from .fingerprints import op4
 from .language import op10
 from .quality import op3
 from .secrets import op6
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1,
     "op2_warc": op2,
     "op3_quality": op3,
+    "op4_fingerprints": op4,
     "op5_sharding": op5,
     "op6_secrets": op6,
     "op8_decontamination": op8,
