@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import op8
 from .fingerprints import op4
 from .language import op10
+from .mixing import OP9_SQL, op9
 from .quality import op3
 from .secrets import op6
 from .sharding import op5
@@ -23,8 +24,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5,
     "op6_secrets": op6,
     "op8_decontamination": op8,
+    "op9_mixing": op9,
     "op10_language_id": op10,
 }
 ORACLES: dict[str, str] = {
     "op2_warc": OP2_SQL,
+    "op9_mixing": OP9_SQL,
 }
