@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op8
 from .fingerprints import op4
+from .jaccard_join import op7
 from .language import op10
 from .mixing import OP9_SQL, op9
 from .quality import op3
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4,
     "op5_sharding": op5,
     "op6_secrets": op6,
+    "op7_jaccard_join": op7,
     "op8_decontamination": op8,
     "op9_mixing": op9,
     "op10_language_id": op10,
