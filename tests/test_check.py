@@ -1,0 +1,122 @@
+import json
+
+import pytest
+
+from marlstone.operators import scoring, similarity
+from marlstone.operators.signals import RULES, Engine
+from marlstone.plans.check import check, check_payloads
+from marlstone.sources import packs
+from marlstone.streaming.messages import check_stream, verdict_counts
+from pyspark.sql import functions as F
+
+ENGINE = Engine(packs.SIGNALS)
+
+
+def ids(text, sender=None, kind="text"):
+    return [s["id"] for s in ENGINE.run(text, sender, kind)]
+
+
+@pytest.mark.parametrize(
+    ("text", "want", "without"),
+    [
+        ("Please share the OTP now", "otp_request", "advisory"),
+        ("Never share the OTP with anyone", "advisory", "otp_request"),
+        ("Scan the QR code and enter PIN to receive Rs 500", "upi_receive", "advance_fee"),
+        ("Update KYC or account blocked: http://sbi-kyc-update.xyz/a", "link_bank_unofficial", "official_link"),
+        ("see https://www.sbi.co.in/x", "official_link", "link_present"),
+        ("get it at http://1.2.3.4/app.apk", "link_apk", "official_link"),
+        ("parcel seized by customs, courier desk", "courier_seized", "delivery_fee"),
+        ("You won the lottery", "prize", "loan_offer"),
+        ("earned 50 points, reward points lottery", "link_none", "prize"),
+        ("install anydesk for support", "remote_access", "app_install"),
+        ("Never install anydesk", "link_none", "remote_access"),
+        ("dial *401*9876543210", "call_forwarding", "otp_request"),
+        ("We are hiring for a job. You must pay Rs 500 to join", "job_fee", "easy_money"),
+        ("electricity will be disconnected tonight", "electricity_cut", "kyc_threat"),
+        ("your a/c debited rs 500", "genuine_txn_alert", "advance_fee"),
+        ("SВI account", "lookalike_text", "otp_request"),
+        ("I sent rs 500 by mistake, return it", "wrong_transfer", "refund_bait"),
+        ("", "link_none", "advisory"),
+    ],
+)
+def test_signals(text, want, without):
+    found = ids(text)
+    assert (want in found or want == "link_none") and without not in found
+
+
+def test_senders_and_calls():
+    assert "sender_mobile_claims_org" in ids("your bank account", "9876543210")
+    assert "sender_mobile_claims_org" not in ids("my bank account", "9876543210")
+    assert "call_mobile_claims_org" in ids("he said my bank account", "9876543210", "call")
+    assert "dlt_sender" in ids("hello", "AX-SHOPIN-T")
+
+
+def test_links_fire_in_link_order_and_once():
+    found = [s for s in ENGINE.run("http://bit.ly/a http://9.9.9.9/b http://cutt.ly/c") if s["id"].startswith("link")]
+    assert [s["id"] for s in found] == ["link_shortener", "link_present", "link_ip"] and found[0]["evidence"] == {"host": "bit.ly"}
+
+
+def test_every_rule_is_defined_in_the_pack():
+    assert {s for s, _ in RULES} <= set(packs.SIGNALS["signals"])
+    less = packs.SIGNALS | {"signals": {k: v for k, v in packs.SIGNALS["signals"].items() if k != "otp_request"}}
+    assert "otp_request" not in [s["id"] for s in Engine(less).run("share the otp")]
+
+
+def test_a_negation_never_raises_the_score():
+    for text in ("share the otp", "you won the lottery", "install anydesk", "pay registration fee first"):
+        score = lambda t: sum(s["weight"] for s in ENGINE.run(t) if s["weight"] > 0)
+        assert score(f"do not {text}") <= score(text)
+
+
+ROWS = [(1, "Share the OTP now", None, "text"), (2, "Hello there", "AX-SHOPIN", None), (3, None, None, "text"), (4, "আপনার অ্যাকাউন্ট বন্ধ হবে", None, "ocr"), (5, "you won rs 5000, pay rs 99 fee first to claim now", "9876543210", "odd")]
+
+
+def test_cards(spark):
+    messages = spark.createDataFrame(ROWS, "message_id long, text string, sender string, input_type string")
+    patterns = spark.createDataFrame([(0, "a", "prize", "you won rs 5000, pay rs 99 fee to claim"), (1, "b", "kyc", "update your kyc")], "ord int, id string, category string, text string")
+    got = {r.message_id: r for r in check(messages, packs.SIGNALS, patterns, packs.MODEL).collect()}
+    assert got[1].verdict == "scam" and got[1].hard_signal and got[1].confidence >= 0.97 and got[1].category == "otp_pin" and got[1].sensitive
+    assert got[2].verdict == "no_signs" and got[2].reason_ids == ["dlt_sender"] and got[2].category is None and got[2].helplines is None
+    assert got[4].verdict == "unreadable" and got[4].headline == "bn can't be read yet"
+    assert got[5].pattern_id == "a" and "pattern_match" in [s["id"] for s in got[5].fired] and got[5].rupees_at_risk == 99 and got[5].input_type == "text"
+    assert got[3].text is None and got[3].verdict in (None, "no_signs")
+
+
+def test_qr_cards(spark):
+    got = check_payloads(spark.createDataFrame([(1, "upi://pay?pa=a@b&pn=X&tn=cashback&am=10"), (2, "hello")], "message_id long, payload string"), packs.SIGNALS).collect()
+    by = {r.message_id: r for r in got}
+    assert by[1].verdict == "scam" and by[1].qr.flags == ["receive_claim"] and by[2].qr.kind == "text"
+
+
+def test_category_ties_and_reason_slots(spark):
+    row = lambda k, i, w, h=False, e=None, c=None: (k, i, w, h, e or {}, c)
+    df = spark.createDataFrame([(1, [row(0, "prize", 1.5), row(1, "loan_offer", 1.5)], None), (2, [row(0, "link_present", 2.0)], None), (3, [row(0, "link_lookalike", 3.0, False, {"host": "h", "brand": "b"})], None), (4, [], None)], f"id int, fired {scoring.FIRED}, unread string")
+    got = {r.id: r for r in scoring.scored(df, packs.SIGNALS).collect()}
+    assert got[1].category == "prize" and got[2].category == "generic" and got[2].reason_ids == ["link_present"]
+    assert got[3].reasons_en == ["h resembles b"] and got[4].reason_ids == ["no_signals"] and got[4].reasons_en == ["Nothing stood out"]
+
+
+def test_similarity_edges(spark):
+    patterns = spark.createDataFrame([(7, "alpha beta"), (3, "alpha beta"), (9, "gamma")], "p int, t string")
+    texts = spark.createDataFrame([(1, "ALPHA beta"), (2, "zzz"), (3, ""), (4, None), (5, "gamma gamma")], "k int, t string")
+    got = {r.k: (r.p, round(r.similarity, 6)) for r in similarity.best_match(texts, "k", "t", patterns, "p", "t").collect()}
+    assert got[1] == (3, 1.0) and got[2] == (3, 0.0) and got[3] == (3, 0.0) and got[4] == (3, 0.0) and got[5][0] == 9
+
+
+def test_pack_files(spark, tmp_path):
+    path = str(tmp_path / "p.json")
+    (tmp_path / "p.json").write_text(json.dumps({"name": "x", "data": {"threshold": 0.6, "patterns": [{"id": "a", "category": "c", "text": "t"}]}}))
+    assert [tuple(r) for r in packs.read_patterns(spark, path).collect()] == [(0, "a", "c", "t", 0.6)]
+    (tmp_path / "d.json").write_text(json.dumps({"data": {"examples": [{"id": "m", "text": "hi"}], "qr_examples": [{"id": "q", "payload": "upi://pay"}]}}))
+    assert packs.read_messages(spark, str(tmp_path / "d.json")).first()["text"] == "hi" and packs.read_payloads(spark, str(tmp_path / "d.json")).first()["payload"] == "upi://pay"
+
+
+def test_stream(spark, tmp_path):
+    rows = [(r[0], r[1], r[2], r[3], f"2026-01-01 00:0{r[0]}:00") for r in ROWS]
+    source = spark.createDataFrame(rows, "message_id long, text string, sender string, input_type string, at string").withColumn("at", F.to_timestamp("at"))
+    source.write.parquet(str(tmp_path / "in"))
+    stream = check_stream(spark.readStream.schema(source.schema).parquet(str(tmp_path / "in")), packs.SIGNALS)
+    q = verdict_counts(stream, "at").writeStream.outputMode("complete").format("memory").queryName("verdicts").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sum(r.n for r in spark.table("verdicts").collect()) == len(rows)
