@@ -42,6 +42,7 @@ SPOKEN_DOT = re.compile(rf"(?<=[a-z0-9])\s+dot\s+(?={TLD}\b)")
 LOOSE_DOT = re.compile(rf"(?<![a-z0-9-])(?P<name>[a-z0-9][a-z0-9-]*)\s+\.\s+(?P<end>{TLD}\b)(?P<path>/?)")
 MIXED_WORD = re.compile(r"(?<![\w/.-])[a-z0-9]{3,}(?![\w/-]|\.\w)")
 TOKEN = re.compile(r"""[^\s.,!?:;()"'/]+""")
+OTHER_SCRIPT = re.compile("[\u0370-\u03ff\u0400-\u04ff]")
 
 
 def _tight(m: re.Match) -> str:
@@ -82,7 +83,10 @@ def fold(text: str) -> str:
 
 def mixed_script_tokens(text: str) -> list[str]:
     """Tokens that hold Latin letters beside Greek or Cyrillic ones."""
-    return [t for t in TOKEN.findall(unicodedata.normalize("NFKC", text)) if re.search("[A-Za-z]", t) and re.search("[\u0370-\u03ff\u0400-\u04ff]", t)]
+    text = unicodedata.normalize("NFKC", text)
+    if not OTHER_SCRIPT.search(text):
+        return []
+    return [t for t in TOKEN.findall(text) if OTHER_SCRIPT.search(t) and re.search("[A-Za-z]", t)]
 
 
 def fill(template: str, values: dict) -> str:

@@ -67,6 +67,14 @@ def test_language_and_scripts(spark):
     assert extract.unread_script("hello") is None
 
 
+def test_counts_equal_definition():
+    from collections import Counter
+
+    for given in ("", "a", "Hello, wörld 🙂 hello", "x" * 50):
+        buckets, n = classifier.counts(given)
+        assert dict(zip(buckets.tolist(), n.tolist(), strict=True)) == dict(Counter(map(classifier.bucket, classifier.grams(given))))
+
+
 def test_murmur():
     assert classifier.murmur3(b"abc") == -1277324294 and classifier.bucket("abc") == 27654
     assert classifier.grams("hi", 3, 5) == [" hi", "hi ", " hi "]
