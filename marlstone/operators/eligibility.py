@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.logic import AGE_LEAST, AGE_MOST, CODE, NAMES, Scope, age_probes, both, name_of, nodes, trail, truth
+from ..plans.logic import AGE_LEAST, AGE_MOST, CODE, NAMES, Scope, age_probes, any_of, name_of, nodes, trail, truth
 
 STATUS = {"T": "likely", "L": "likely", "U": "check", "F": "no"}
 GROUPS = ("have", "likely", "unlock", "check", "no")
@@ -127,7 +127,7 @@ def outcomes(pack: dict, scope: Scope) -> Column:
 
 
 def differ(signatures: list[Column]) -> Column:
-    return both([signatures[0] != s for s in signatures[1:]])
+    return any_of([signatures[0] != s for s in signatures[1:]])
 
 
 def shown_options(question: dict, pack: dict, scope: Scope) -> Column:

@@ -113,5 +113,5 @@ def age_probes(rules: list[dict]) -> list[int]:
     return sorted(edges)
 
 
-def both(conditions: list[Column], empty: bool = False) -> Column:
+def any_of(conditions: list[Column], empty: bool = False) -> Column:
     return reduce(lambda a, b: a | b, conditions) if conditions else F.lit(empty)
