@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .text import TLD, udf
 
+# Patterns of links, numbers, registered headers and payment handles.
 LINK = re.compile(
     r"""(?:https?://|www\.)[^\s<>"'()]+"""
     r"""|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{2,5})?/[^\s<>"'()]*"""
@@ -32,6 +33,7 @@ HANDLE = re.compile(r"(?<![\w.@-])([a-z0-9][a-z0-9._-]{1,255}@[a-z][a-z0-9]{1,63
 UNITS = {"lakh": 1e5, "lac": 1e5, "लाख": 1e5, "crore": 1e7, "cr": 1e7, "करोड़": 1e7, "करोड": 1e7, "thousand": 1e3, "हजार": 1e3}
 _NUMBER = r"(\d{1,3}(?:,\d{2,3})+|\d+)(?:\.(\d{1,2}))?"
 _UNIT = "(" + "|".join(UNITS) + ")"
+# The pattern of an amount, with its currency first or last.
 AMOUNT = re.compile(
     rf"(?:₹|\brs\.?|\binr|\brupees?|रु\.?|रुपये|रुपए)\s?{_NUMBER}(?:\s*{_UNIT})?"
     rf"|(?<![\d.,]){_NUMBER}\s?(?:{_UNIT}\s?)?(?:rupees?\b|rs\b\.?|inr\b|रुपये|रुपए|रूपए|रूपये|रुपया|रूपया|रुपयों|/-)",

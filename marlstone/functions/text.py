@@ -36,6 +36,7 @@ NUKTA, CHANDRABINDU, ANUSVARA = "\u093c", "\u0901", "\u0902"
 SINGLE = str.maketrans({**LOOK_ALIKES, **{chr(0x966 + k): str(k) for k in range(10)}})
 TLD = "(?:" + "|".join(TLDS) + ")"
 
+# Patterns of links written apart, of words with digits for letters, and of tokens.
 DEFANGED_SCHEME = re.compile(r"\bhxxp(s?)://")
 DOT_IN_BRACKETS = re.compile(r"\s*[\[({]\s*(?:\.|dot)\s*[\])}]\s*")
 SPOKEN_DOT = re.compile(rf"(?<=[a-z0-9])\s+dot\s+(?={TLD}\b)")
