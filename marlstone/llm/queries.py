@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .decontamination import op8
+from .decontamination import OP8_SQL, op8
 from .fingerprints import op4
-from .jaccard_join import op7
+from .jaccard_join import OP7_SQL, op7
 from .language import op10
 from .mixing import OP9_SQL, op9
 from .quality import op3
@@ -31,5 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op2_warc": OP2_SQL,
+    "op7_jaccard_join": OP7_SQL,
+    "op8_decontamination": OP8_SQL,
     "op9_mixing": OP9_SQL,
 }

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -102,3 +103,10 @@ def test_query(spark):
     got = rows_of(dc.op8(spark, SF))
     assert got == sorted((i, *brute(t, items)) for i, t in docs)
     assert sum(r[5] for r in got) > 0
+
+
+def test_query_equals_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    assert sorted(tuple(r) for r in dc.op8(spark, SF).collect()) == sorted(con.sql(dc.OP8_SQL).fetchall())
