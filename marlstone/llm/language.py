@@ -40,7 +40,7 @@ LONGEST = 20_000
 FEATURES = 256
 EPOCHS = 4
 REJECTED = 0.001
-CACHE = 400_000
+CACHE = 250_000
 UND = "und"
 EDGE = re.compile(r"[\W\d_]+")
 
@@ -158,10 +158,12 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     aside = len(rows) // 5 if len(rows) >= 50 else 0
     texts = [words(t) for t, _ in rows[aside:]]
     known = sorted({w for t in texts for w in t})
-    flat, counts = features(known)
-    ends = np.cumsum(counts)
-    place = {w: (e - n, e) for w, n, e in zip(known, counts.tolist(), ends.tolist(), strict=True)}
-    bags = [np.concatenate([flat[a:b] for a, b in map(place.__getitem__, t)]) for t in texts]
+    of: dict[str, np.ndarray] = {}
+    for low in range(0, len(known), 20_000):  # two bytes a feature, as buckets are below 2 ** 16
+        part = known[low : low + 20_000]
+        flat, counts = features(part)
+        of.update(zip(part, np.split(flat.astype("u2"), np.cumsum(counts)[:-1]), strict=True))
+    bags = [np.concatenate([of[w] for w in t]) for t in texts]
     y = np.array([langs.index(lang) for _, lang in rows])
     share = np.bincount(y[aside:], minlength=len(langs)) / max(1, len(rows) - aside)
     table = rng.normal(0, 1 / WIDTH, (BUCKETS, WIDTH))
@@ -195,8 +197,8 @@ def _calibrate(model: Model, z: np.ndarray, y: np.ndarray) -> None:
     model.temperature = float(scales[int(np.argmin(loss))])
     p = softmax(z / model.temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == y]
-    # Never above an even chance's double: a shift of texts must not turn into rejections of clean ones.
-    model.reject = float(min(np.quantile(right, REJECTED), 2 / (len(model.langs) + 1))) if len(right) else 0.0
+    # Never far above an even chance: a shift of texts must not turn into rejections of clean ones.
+    model.reject = float(min(np.quantile(right, REJECTED), 1.2 / len(model.langs))) if len(right) else 0.0
 
 
 def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str]]:

@@ -32,7 +32,7 @@ from . import shared
 MAGIC = b"MTOKPK01"
 BLOCK = 1 << 18
 END_ID = 2
-CACHE = 600_000
+CACHE = 400_000
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_blocks long, n_bytes long"
 
 
