@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from . import shared
 
@@ -303,41 +304,56 @@ def cleaned(docs: DataFrame, items: DataFrame, window: int = WINDOW, block: int
     """docs without spans that items hold; rows of which a larger share than `most` is hit go.
 
     Columns stay; n_chars, where there is one, is that of the text that is left. Each
-    block of items is one more pass over the rows, without a shuffle.
+    block of items is one more pass over the rows, without a shuffle: passes hand on the
+    ranges found in the whole text, and the last one merges them, decides and cuts.
     """
     at = docs.columns.index("text")
     size_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    schema = docs.schema
+    width, schema = len(docs.columns), docs.schema
+    hits = "hits"
+    while hits in docs.columns:
+        hits += "_"
 
-    def step(frame: DataFrame, index: Index) -> DataFrame:
+    def step(frame: DataFrame, index: Index, first: bool, last: bool) -> DataFrame:
         sent = frame.sparkSession.sparkContext.broadcast(index)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for batch in batches:
-                texts, keep, changed = batch.column(at).to_pylist(), [], []
+                texts, keep, changed, handed = batch.column(at).to_pylist(), [], [], []
+                earlier = [[]] * len(texts) if first else batch.column(width).to_pylist()
                 for k, text in enumerate(texts):
                     own = words(text)
                     ranges, _ = match(index, coded(index, own))
+                    ranges = merged([*earlier[k], *(x for r in ranges for x in r)])
+                    if not last:
+                        handed.append([x for r in ranges for x in r])
+                        continue
                     hit = sum(b - a for a, b in ranges)
                     keep.append(hit <= most * len(own))
                     if ranges and keep[-1]:
                         texts[k] = cut(text, ranges)
                         changed.append(k)
-                columns = list(batch.columns)
+                columns = list(batch.columns[:width])
+                if not last:
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(handed, pa.list_(pa.int32()))], [*batch.schema.names[:width], hits])
+                    continue
                 if size_at is not None:
                     sizes = columns[size_at].to_pylist()
                     for k in changed:
                         sizes[k] = len(texts[k])
                     columns[size_at] = pa.array(sizes, columns[size_at].type)
                 columns[at] = pa.array(texts, columns[at].type)
-                yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:width]).filter(pa.array(keep, pa.bool_()))
 
-        return frame.mapInArrow(work, schema)
+        return frame.mapInArrow(work, schema if last else StructType([*schema, StructField(hits, ArrayType(IntegerType()))]))
 
-    for index in indexes(items, window, block):
-        docs = step(docs, index)
-    return docs
+    waiting, first = None, True
+    for index in indexes(items, window, block):  # two on the driver at most
+        if waiting:
+            docs, first = step(docs, waiting, first, False), False
+        waiting = index
+    return step(docs, waiting, first, True) if waiting else docs
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,22 @@ def test_cleaned(spark):
     assert all(brute(t, ITEMS)[1] == 0 for t in loose.values())
 
 
+def test_cleaned_in_more_blocks_equals_one(spark):
+    word = [f"w{k}" for k in range(60)]
+    own = [(1, " ".join(word[:20])), (2, " ".join(word[15:30]))]  # they overlap in w15 to w19
+    items = spark.createDataFrame(ITEMS + [(i + 20, t) for i, t in own], "item_id long, text string")
+    texts = [(11, "begin " + " ".join(word)), (12, " ".join(word[:12] + ["a", "b"] + word[20:30] + ["c"] * 12)), (13, " ".join(word[12:26] + ["z"] * 30))]
+    rows = [(i, t, None if t is None else len(t), "x") for i, t in DOCS + texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, hits string")
+    assert len(list(dc.indexes(items, block=8))) > 2
+    for most in (0.5, 1.0):
+        want = sorted((tuple(r) for r in dc.cleaned(docs, items, most=most).collect()), key=str)
+        assert sorted((tuple(r) for r in dc.cleaned(docs, items, block=8, most=most).collect()), key=str) == want
+    kept = {r.doc_id: r.text for r in dc.cleaned(docs, items, block=8).collect()}
+    assert kept[11] == "begin  " + " ".join(word[30:])
+    assert 12 not in kept  # 12 and 10 of 36 words, by two blocks
+
+
 def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
