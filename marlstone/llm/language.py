@@ -4,8 +4,9 @@ A word is its own feature and its character n-grams of 2 to 4 within "<word>";
 features are hashed into BUCKETS rows of an embedding table. A text's vector is
 the mean over all its features, and a linear softmax over it gives languages.
 Table and softmax are learned together by stochastic gradient descent in numpy.
-A temperature fitted on a part kept aside calibrates the softmax, and the
-rejection level is the quantile of that part's scores that REJECTED of them fall below.
+A temperature fitted on a part kept aside, with smoothed targets from SMOOTHED rows on, calibrates the softmax, and the
+rejection level is the quantile of that part's right scores that REJECTED of them fall
+below: near the least one where the part has fewer than 1 / REJECTED rows.
 
 The model is linear up to the softmax, so a word's part of the logits is a
 small vector that each worker computes once and keeps; a text costs a lookup
@@ -40,6 +41,7 @@ LONGEST = 20_000
 FEATURES = 256
 EPOCHS = 4
 REJECTED = 0.001
+SMOOTHED = 100
 CACHE = 250_000
 UND = "und"
 EDGE = re.compile(r"[\W\d_]+")
@@ -193,12 +195,15 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 def _calibrate(model: Model, z: np.ndarray, y: np.ndarray) -> None:
     """The temperature of least log loss on rows kept aside, and the level that few right answers fall below."""
     scales = np.geomspace(0.05, 8, 60)
-    loss = [-np.log(softmax(z / s)[np.arange(len(y)), y] + 1e-12).mean() for s in scales]
+    # Smoothed targets as Platt's: where all answers are right, scores must not all become 1, which tells nothing apart.
+    slip = 1 / (len(y) + 2) if len(y) >= SMOOTHED else 0.0
+    target = np.full(z.shape, slip / (z.shape[1] - 1))
+    target[np.arange(len(y)), y] = 1 - slip
+    loss = [-(target * np.log(softmax(z / s) + 1e-12)).sum(axis=1).mean() for s in scales]
     model.temperature = float(scales[int(np.argmin(loss))])
     p = softmax(z / model.temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == y]
-    # Never far above an even chance: a shift of texts must not turn into rejections of clean ones.
-    model.reject = float(min(np.quantile(right, REJECTED), 1.2 / len(model.langs))) if len(right) else 0.0
+    model.reject = float(np.quantile(right, REJECTED)) if len(right) else 0.0
 
 
 def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str]]:

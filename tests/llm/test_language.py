@@ -76,6 +76,17 @@ def test_query_held_out_accuracy(spark):
     assert language.accepted(spark.read.parquet(f"{SF}/documents.parquet"), model).count() >= 0.99 * len(docs)
 
 
+@pytest.mark.parametrize("unlearned", ["de", "fr"])
+def test_rejects_an_unlearned_language_and_keeps_held_out_texts(spark, unlearned):
+    docs = [r for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang IS NOT NULL AND length(text) BETWEEN 50 AND 20000").collect()]
+    held = [zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in docs]
+    model = language.fit([(r.text, r.lang) for r, h in zip(docs, held, strict=True) if not h and r.lang != unlearned][:4000])
+    keep = lambda own: np.mean([s >= model.reject for _, s in model.predict([r.text for r in own])])
+    own = [r for r, h in zip(docs, held, strict=True) if h]
+    assert keep([r for r in own if r.lang == unlearned]) < 0.3
+    assert keep([r for r in own if r.lang != unlearned]) > 0.99
+
+
 def test_training_never_sees_held_out(spark):
     rows = [(k, f"w{k} text", "en") for k in range(200)] + [(500, None, "en"), (501, "abc", None), (None, "abc", "en")]
     got = language.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
