@@ -44,6 +44,38 @@ def test_signals(text, want, without):
     assert (want in found or want == "link_none") and without not in found
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("He sent a QR code, scan it and receive money", "upi_receive"),
+        ("PIN daalo, paise milega", "upi_receive"),
+        ("PIN enter karo, amount credit hoga", "upi_receive"),
+        ("I sent a collect request, please approve it", "upi_receive"),
+        ("accept the request to get Rs 500", "upi_receive"),
+        ("accept the request on paytm, money comes back", "upi_receive"),
+        ("receive Rs 500, enter UPI PIN", "upi_receive"),
+        ("राशि प्राप्त करने के लिए क्यूआर स्कैन", "upi_receive"),
+        ("job offer, Rs 4500 must be paid", "job_fee"),
+        ("job offer, Rs 4500 has to be paid", "job_fee"),
+        ("job offer, they are asking me to pay Rs 500", "job_fee"),
+        ("job offer, HR wants me to pay Rs 500", "job_fee"),
+        ("job offer, you should pay Rs 500", "job_fee"),
+        ("job offer, plz pay Rs 500", "job_fee"),
+        ("job offer, deposit Rs 999", "job_fee"),
+        ("job offer, pay Rs 500 via paytm", "job_fee"),
+        ("job offer, pay Rs 500 within a day", "job_fee"),
+        ("job offer, Rs 1200 dene honge", "job_fee"),
+    ],
+)
+def test_every_way_to_ask(text, want):
+    assert want in ids(text)
+
+
+@pytest.mark.parametrize("text", ["Never accept a request to get a refund", "job offer, we will pay Rs 500 as bonus"])
+def test_advice_and_salaries_ask_nothing(text):
+    assert not {"upi_receive", "job_fee"} & set(ids(text))
+
+
 def test_senders_and_calls():
     assert "sender_mobile_claims_org" in ids("your bank account", "9876543210")
     assert "sender_mobile_claims_org" not in ids("my bank account", "9876543210")
