@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import posixpath
 import shutil
 import tempfile
@@ -11,8 +12,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+HOT_ROWS = 2000
+MOST_HOT = 1000
+TURNS = 64
+
 _OWN: list[str] = []
 
 
@@ -38,39 +44,46 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Paths of the tables written since each open scratch() began.
-_SCRATCH: list[list[str]] = []
+#: Paths of the tables written since the innermost scratch() of this thread began.
+_SCOPE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back; within scratch() it is deleted at the end, unless kept.
 
     Cuts the lineage: a lost executor costs later stages nothing, and a table
     that is read twice is computed once.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    if _SCRATCH:
-        _SCRATCH[-1].append(path)
+    scope = _SCOPE.get()
+    if scope is not None and not keep:
+        scope.append(path)
     df.write.parquet(path)
     return spark.read.schema(nullable(df.schema)).parquet(path)
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """Tables written within are deleted at its end, but for those of the function that it gives."""
+    """Tables that this thread writes within are deleted at its end, but for those of the function that it gives.
+
+    The latter belong to the scratch() around it, if there is one.
+    """
     paths: list[str] = []
-    _SCRATCH.append(paths)
+    outer = _SCOPE.get()
+    token = _SCOPE.set(paths)
 
     def kept(df: DataFrame, name: str) -> DataFrame:
-        out = written(df, name)
-        paths.pop()
-        return out
+        inner = _SCOPE.set(outer)
+        try:
+            return written(df, name)
+        finally:
+            _SCOPE.reset(inner)
 
     try:
         yield kept
     finally:
-        _SCRATCH.pop()
+        _SCOPE.reset(token)
         for path in paths:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
@@ -118,3 +131,18 @@ def attempt_name() -> str:
 
     context = TaskContext.get()
     return f"{context.partitionId():06d}-{context.taskAttemptId()}"
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, spread: str) -> DataFrame:
+    """rows left-joined with table, which is unique by key. Keys of HOT_ROWS rows or more are dealt over TURNS tasks by `spread`.
+
+    The driver sees MOST_HOT keys at most; should there be more hot ones, the largest are dealt.
+    """
+    counted = rows.groupBy(key).count().where(F.col("count") >= HOT_ROWS).orderBy(F.desc("count")).limit(MOST_HOT)
+    hot = [r[0] for r in counted.select(key).collect()]
+    if not hot:
+        return rows.join(table, key, "left")
+    is_hot = F.col(key).isin(hot)
+    dealt = rows.withColumn("_turn", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(TURNS))).otherwise(F.lit(0).cast("long")))
+    copied = table.withColumn("_turn", F.explode(F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(TURNS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
+    return dealt.join(copied, [key, "_turn"], "left").drop("_turn")
