@@ -12,8 +12,9 @@ The model is linear up to the softmax, so a word's part of the logits is a
 small vector that each worker computes once and keeps; a text costs a lookup
 for each of its words.
 
-Fitted on a bounded sample: at most about SAMPLE documents by hash of doc_id,
-of at most LONGEST characters each. Prediction reads every whole text.
+Fitted on a bounded sample, by hash of doc_id: about SAMPLE documents in all, dealt
+evenly over languages, so that a rare one gives all its rows if it has fewer than its
+share; of each at most DRAWN words, drawn from the whole text. Prediction reads every whole text.
 
 Cases: a null text, or one without letters, is `und` with score 0. Ties go to
 the language that sorts first. With no labelled row every text is `und`. Rows
@@ -37,7 +38,7 @@ from . import shared
 BUCKETS = 1 << 16
 WIDTH = 16
 SAMPLE = 4000
-LONGEST = 20_000
+DRAWN = 2000
 FEATURES = 256
 EPOCHS = 4
 REJECTED = 0.001
@@ -107,25 +108,29 @@ class Model:
         data, size = rows.tobytes(), 4 * rows.shape[1]
         return [data[k : k + size] for k in range(0, len(data), size)]
 
-    def learn(self, texts: list[str]) -> list[list[str]]:
-        """Each text's chunks between blanks; the cache then holds all of them."""
-        if len(self.known) > CACHE:
-            self.known.clear()
+    def looked_up(self, texts: list[str]) -> Iterator[bytes]:
+        """Each text's rows. Words that a full cache doesn't hold are computed again for each call."""
         chunks = [t.lower().split() for t in texts]
-        new = list({c for own in chunks for c in own if c not in self.known})
+        new = list(set().union(*chunks) - self.known.keys())
+        fresh: dict[str, bytes] = {}
         for low in range(0, len(new), 20_000):
             part = new[low : low + 20_000]
-            self.known.update(zip(part, self._rows(part), strict=True))
-        return chunks
+            fresh.update(zip(part, self._rows(part), strict=True))
+        if len(self.known) < CACHE:
+            self.known.update(fresh)
+            fresh = {}
+        get = self.known.get
+        for own in chunks:
+            yield b"".join([get(c) or fresh[c] for c in own] if fresh else map(get, own))
 
     def logits(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Of each text; None for one without letters."""
         able = [bool(self.langs and t and any(map(str.isalpha, t))) for t in texts]
-        chunks = iter(self.learn([t for t, a in zip(texts, able, strict=True) if a]))
+        found = self.looked_up([t for t, a in zip(texts, able, strict=True) if a])
         out: list[np.ndarray | None] = []
         for a in able:
             if a:
-                rows = np.frombuffer(b"".join(map(self.known.__getitem__, next(chunks))), "f4").reshape(-1, len(self.langs) + 1)
+                rows = np.frombuffer(next(found), "f4").reshape(-1, len(self.langs) + 1)
                 total = rows.sum(axis=0, dtype="f8")
                 out.append(total[:-1] / max(total[-1], 1) + self.bias)
             else:
@@ -194,7 +199,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 
 def _calibrate(model: Model, z: np.ndarray, y: np.ndarray) -> None:
     """The temperature of least log loss on rows kept aside, and the level that few right answers fall below."""
-    scales = np.geomspace(0.05, 8, 60)
+    scales = np.geomspace(0.005, 50, 120)
     # Smoothed targets as Platt's: where all answers are right, scores must not all become 1, which tells nothing apart.
     slip = 1 / (len(y) + 2) if len(y) >= SMOOTHED else 0.0
     target = np.full(z.shape, slip / (z.shape[1] - 1))
@@ -206,14 +211,36 @@ def _calibrate(model: Model, z: np.ndarray, y: np.ndarray) -> None:
     model.reject = float(np.quantile(right, REJECTED)) if len(right) else 0.0
 
 
+def even_share(counts: list[int], total: int) -> int:
+    """The largest number such that so many of each, or all where there are fewer, are at most total."""
+    left = sorted(counts)
+    for k, n in enumerate(left):
+        if n * (len(left) - k) > total:
+            return total // (len(left) - k)
+        total -= n
+    return max(left, default=0)
+
+
 def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most about `sample` (text, lang) rows by hash of doc_id; short ones, so their bytes are bounded too."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= LONGEST) & ~held_out(F.col("doc_id"), 4, 2))
-    n = known.count()
-    turn = F.xxhash64(F.col("doc_id"), F.lit("language"))
-    if n > sample:
-        known = known.where(F.pmod(turn, F.lit(1_000_000)) < max(1, 1_000_000 * sample // n))
-    return [tuple(r) for r in known.select("text", "lang").collect()]
+    """About `sample` rows (words, lang) at most, dealt evenly over languages. The driver sees a number for each language and these rows."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    share = even_share(list(counts.values()), sample)
+    rates = docs.sparkSession.createDataFrame([(lang, -(-(share << 40) // n)) for lang, n in counts.items()], "lang string, rate long")
+    turn = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 40))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = words(text.as_py())
+                if len(found) > DRAWN:
+                    found = [found[k] for k in np.random.default_rng(doc_id & (1 << 63) - 1).integers(0, len(found), DRAWN)]
+                texts.append(" ".join(found))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(2)], ["text", "lang"])
+
+    # A row for each language.
+    return [tuple(r) for r in known.join(F.broadcast(rates), "lang").where(turn < F.col("rate")).select("doc_id", "text", "lang").mapInArrow(work, "text string, lang string").collect()]
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -253,4 +280,4 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents")
     model = fit(training_rows(docs))
-    return identify(docs, model).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+    return identify(docs, model).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", F.col("keep").alias("accepted"))

@@ -1,7 +1,10 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from marlstone.llm import language
 
@@ -78,7 +81,7 @@ def test_query_held_out_accuracy(spark):
 
 @pytest.mark.parametrize("unlearned", ["de", "fr"])
 def test_rejects_an_unlearned_language_and_keeps_held_out_texts(spark, unlearned):
-    docs = [r for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang IS NOT NULL AND length(text) BETWEEN 50 AND 20000").collect()]
+    docs = [r for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang IS NOT NULL AND length(text) BETWEEN 50 AND 5000").collect()]
     held = [zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in docs]
     model = language.fit([(r.text, r.lang) for r, h in zip(docs, held, strict=True) if not h and r.lang != unlearned][:4000])
     keep = lambda own: np.mean([s >= model.reject for _, s in model.predict([r.text for r in own])])
@@ -88,6 +91,65 @@ def test_rejects_an_unlearned_language_and_keeps_held_out_texts(spark, unlearned
 
 
 def test_training_never_sees_held_out(spark):
-    rows = [(k, f"w{k} text", "en") for k in range(200)] + [(500, None, "en"), (501, "abc", None), (None, "abc", "en")]
+    name = lambda k: "".join("abcdefghij"[int(d)] for d in str(k))
+    rows = [(k, f"w{name(k)}: Text", "en") for k in range(200)] + [(500, None, "en"), (501, "abc", None), (None, "abc", "en")]
     got = language.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert sorted(t for t, _ in got) == sorted(t for k, t, lang in rows[:200] if zlib.crc32(str(k).encode()) % 4 != 2)
+    assert sorted(t for t, _ in got) == sorted(f"w{name(k)} text" for k in range(200) if zlib.crc32(str(k).encode()) % 4 != 2)
+
+
+def test_rare_languages_and_long_texts_teach(spark):
+    rows = [(k, "the house", "en") for k in range(3000)] + [(k, "das haus " * 30_000, "de") for k in range(3000, 3010)]
+    got = language.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 100)
+    count = Counter(lang for _, lang in got)
+    assert count["de"] == sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(3000, 3010)) and 50 < count["en"] < 150
+    assert max(len(t.split()) for t, _ in got) == language.DRAWN
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 50), min_size=1, max_size=8), st.integers(1, 200))
+def test_even_share(counts, total):
+    share = language.even_share(counts, total)
+    given = lambda s: sum(min(n, s) for n in counts)
+    assert given(share) <= total and (share == max(counts) or given(share + 1) > total)
+
+
+def test_calibration_equals_definition():
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 3, 400)
+    z = rng.normal(0, 1, (400, 3)) * 4
+    z[np.arange(400), y] += 6
+    m = language.Model(["a", "b", "c"], np.zeros((1, 3)), np.zeros(3))
+    language._calibrate(m, z, y)
+
+    def loss(scale):
+        total, slip = 0.0, 1 / 402
+        for row, own in zip(z, y, strict=True):
+            e = np.exp(row / scale - max(row / scale))
+            p = e / e.sum() + 1e-12
+            total -= sum((1 - slip if k == own else slip / 2) * np.log(p[k]) for k in range(3))
+        return total / 400
+
+    scales = np.geomspace(0.005, 50, 120)
+    best = min(range(120), key=lambda k: loss(scales[k]))
+    assert m.temperature == scales[best] and 0 < best < 119
+    right = sorted(p.max() for p, own in zip(language.softmax(z / m.temperature), y, strict=True) if p.argmax() == own)
+    assert right[0] <= m.reject <= right[1]
+
+
+def test_rejects_other_scripts_and_random_letters(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(language.training_rows(docs))
+    rng = np.random.default_rng(5)
+    word = lambda letters: "".join(rng.choice(list(letters), rng.integers(2, 10)))
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцч", "αβγδεζηθικλμνξοπρστυφχψω", "अआइईउऊएऐओऔकखगघ"):
+        texts = [" ".join(word(letters) for _ in range(30)) for _ in range(200)]
+        frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+        assert language.accepted(frame, model).count() <= 4, letters
+    assert 0.005 < model.temperature < 50
+
+
+def test_clashing_and_extra_columns(spark, model):
+    rows = [(1, "das haus ist", "x", True, 3), (2, None, None, None, None), (2, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang_pred string, keep boolean, score int")
+    assert [tuple(r) for r in language.accepted(docs, model).collect()] == rows[:1]
+    assert sorted(tuple(r)[:2] for r in language.identify(docs, model).collect()) == [(1, "de"), (2, "und"), (2, "und")]
