@@ -9,7 +9,8 @@ Before the automaton sees a text, runs of words are found whose neighbours
 occur as neighbours in some item: vectorised lookups in a set of word pairs, with
 no misses, only some runs too many. Only runs as long as the shortest window
 are streamed. Items are taken in blocks of at most BLOCK words, each with
-its own automaton and its own pass, so that what is broadcast has a fixed bound.
+its own automaton and its own pass over the texts, one after another: driver and workers hold one
+block at a time, and the spans of all blocks are merged before anything is counted or cut.
 
 Words are runs of ASCII letters and digits and of everything above ASCII, after A-Z
 are lower-cased.
@@ -25,12 +26,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 
 from . import shared
 
@@ -250,25 +253,34 @@ def merged(hits: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def in_blocks(docs: DataFrame, items: DataFrame, window: int, block: int, key: str) -> tuple[DataFrame, DataFrame | Index | None]:
+    """Where one block holds all items: docs and its index (None without items). Else docs written with a row key, and (key, hits, items) of rows that are hit.
+
+    Each block's hits are written before the block after the next is built.
+    """
+    blocks = indexes(items, window, block)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        return docs, first
+    keyed = shared.written(docs.withColumn(key, F.expr("uuid()")), "benchmark-docs")
+    made = [shared.written(found_in(keyed, b, key).where(F.size("hits") > 0).select(key, "hits", "items"), "benchmark-hits") for b in chain((first, second), blocks)]
+    hits = reduce(DataFrame.unionByName, made)
+    return keyed, hits.groupBy(key).agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+
 def found(docs: DataFrame, items: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items and spans of each row of docs (doc_id, text).
 
     With one block of items no rows are shuffled. With more, each block's pass
     gives rows that hit, joined by a row key that is written with the documents once.
     """
-    blocks = list(indexes(items, window, block)) or [None]
-    if len(blocks) == 1:
-        parts = found_in(docs.withColumn("row", F.lit("")), blocks[0], "row")
-    else:
-        keyed = shared.written(docs.select(F.expr("uuid()").alias("row"), "doc_id", "text"), "benchmark-docs")
-        each = [found_in(keyed, b, "row") for b in blocks]
-        first, rest = each[0], each[1:]
-        more = rest[0]
-        for e in rest[1:]:
-            more = more.unionByName(e)
-        more = more.where(F.size("hits") > 0).groupBy("row").agg(F.flatten(F.collect_list("hits")).alias("more_hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("more_items"))
+    keyed, hits = in_blocks(docs.select("doc_id", "text"), items, window, block, "row")
+    if isinstance(hits, DataFrame):
         none = F.array().cast("array<string>")
-        parts = first.join(more, "row", "left").select("row", "doc_id", "n_words", F.concat("hits", F.coalesce("more_hits", none.cast("array<int>"))).alias("hits"), F.array_union("items", F.coalesce("more_items", none)).alias("items"))
+        parts = found_in(keyed, None, "row").drop("hits", "items").join(hits, "row", "left")
+        parts = parts.withColumns({"hits": F.coalesce("hits", none.cast("array<int>")), "items": F.coalesce("items", none)})
+    else:
+        parts = found_in(docs.withColumn("row", F.lit("")), hits, "row")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,57 +315,45 @@ def cut(text: str, ranges: list[tuple[int, int]]) -> str:
 def cleaned(docs: DataFrame, items: DataFrame, window: int = WINDOW, block: int = BLOCK, most: float = 0.5) -> DataFrame:
     """docs without spans that items hold; rows of which a larger share than `most` is hit go.
 
-    Columns stay; n_chars, where there is one, is that of the text that is left. Each
-    block of items is one more pass over the rows, without a shuffle: passes hand on the
-    ranges found in the whole text, and the last one merges them, decides and cuts.
+    Columns stay; n_chars, where there is one, is that of the text that is left. Spans of all
+    blocks are found in the whole texts, merged, and cut at once; with one block that is one pass without a shuffle.
     """
     at = docs.columns.index("text")
     size_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     width, schema = len(docs.columns), docs.schema
-    hits = "hits"
-    while hits in docs.columns:
-        hits += "_"
-
-    def step(frame: DataFrame, index: Index, first: bool, last: bool) -> DataFrame:
-        sent = frame.sparkSession.sparkContext.broadcast(index)
-
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = sent.value
-            for batch in batches:
-                texts, keep, changed, handed = batch.column(at).to_pylist(), [], [], []
-                earlier = [[]] * len(texts) if first else batch.column(width).to_pylist()
-                for k, text in enumerate(texts):
-                    own = words(text)
-                    ranges, _ = match(index, coded(index, own))
-                    ranges = merged([*earlier[k], *(x for r in ranges for x in r)])
-                    if not last:
-                        handed.append([x for r in ranges for x in r])
-                        continue
-                    hit = sum(b - a for a, b in ranges)
-                    keep.append(hit <= most * len(own))
-                    if ranges and keep[-1]:
-                        texts[k] = cut(text, ranges)
-                        changed.append(k)
-                columns = list(batch.columns[:width])
-                if not last:
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(handed, pa.list_(pa.int32()))], [*batch.schema.names[:width], hits])
-                    continue
-                if size_at is not None:
-                    sizes = columns[size_at].to_pylist()
-                    for k in changed:
-                        sizes[k] = len(texts[k])
-                    columns[size_at] = pa.array(sizes, columns[size_at].type)
-                columns[at] = pa.array(texts, columns[at].type)
-                yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:width]).filter(pa.array(keep, pa.bool_()))
-
-        return frame.mapInArrow(work, schema if last else StructType([*schema, StructField(hits, ArrayType(IntegerType()))]))
-
-    waiting, first = None, True
-    for index in indexes(items, window, block):  # two on the driver at most
-        if waiting:
-            docs, first = step(docs, waiting, first, False), False
-        waiting = index
-    return step(docs, waiting, first, True) if waiting else docs
+    packed = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all")
+    keyed, hits = in_blocks(docs.select("doc_id", "text", packed), items, window, block, "row")
+    if hits is None:
+        return docs
+    if isinstance(hits, DataFrame):
+        frame, index = keyed.join(hits.select("row", "hits"), "row", "left").select("all.*", "hits"), None
+        names = [*docs.columns, "hits"]
+    else:
+        frame, index, names = docs, hits, docs.columns
+    sent = docs.sparkSession.sparkContext.broadcast(index)  # at most BLOCK words
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
+        for batch in batches:
+            texts, keep, changed = batch.column(at).to_pylist(), [], []
+            known = batch.column(width).to_pylist() if index is None else None
+            for k, text in enumerate(texts):
+                own = words(text)
+                ranges = match(index, coded(index, own))[0] if index else merged(known[k] or [])
+                keep.append(sum(b - a for a, b in ranges) <= most * len(own))
+                if ranges and keep[-1]:
+                    texts[k] = cut(text, ranges)
+                    changed.append(k)
+            columns = list(batch.columns[:width])
+            if size_at is not None:
+                sizes = columns[size_at].to_pylist()
+                for k in changed:
+                    sizes[k] = len(texts[k])
+                columns[size_at] = pa.array(sizes, columns[size_at].type)
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:width]).filter(pa.array(keep, pa.bool_()))
+
+    return frame.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(work, StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(schema)])).toDF(*docs.columns)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
