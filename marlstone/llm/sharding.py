@@ -4,13 +4,16 @@ Equal texts form a group. Groups go to shards from the largest down, each to
 the least-loaded shard (ties: the lowest), which keeps the shards' bytes near
 equal (law ``bytes``).
 
-Groups are taken by class: sizes below 4096 are classes of their own, larger
-ones keep twelve leading binary digits, so there are at most some 200,000
-classes whatever the corpus. Only the classes' counts and sums reach the driver.
-The heap deals a class of any count in a bounded number of steps: items of one
-size go where load + i * size is smallest, so all but the last few follow from
-one threshold. A group's turn within its class is its rank in a global sort,
-from counts of each (partition, class) and a rank within it.
+Groups are sorted by size, the largest first, by one range shuffle, and taken by class: sizes below
+4096 are classes of their own, larger ones keep twelve leading binary digits, so there are at
+most some 110,000 classes whatever the corpus. Only the classes' counts and sums reach the driver.
+There the heap deals items of one size to shards by turns: as soon as shards are level they take turns in a fixed
+order, so a class of any count is a few runs of turns. A group's turn is its rank in the
+global sort, from counts of each (partition, class) and a rank within it.
+
+A large class's items are dealt as if they had its mean size. Classes are apart, so all together this shifts
+a shard's load by less than the largest group's size. The loads of all large groups are then summed truly, and groups below
+4096 bytes, whose sizes are exact, are dealt on top of these: they level the shards as LPT does.
 
 Cases: a null text counts as no bytes and belongs with the empty texts. Rows
 that repeat are each kept, in their group's shard. A null doc_id takes a slot before
@@ -38,38 +41,47 @@ def size_class(size: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", size, drop), drop)
 
 
-def deal(loads: list[int], size: int, count: int) -> list[int]:
-    """How many of `count` items of one size LPT gives each shard."""
-    k = len(loads)
-    dealt = [0] * k
-    if count > 4 * k:
-        low, high = min(loads), max(loads) + size * count
-        while low < high:  # the largest threshold below which no more than count items start
-            mid = (low + high + 1) // 2
-            if sum(max(0, -(-(mid - load) // size)) for load in loads) <= count:
-                low = mid
-            else:
-                high = mid - 1
-        dealt = [max(0, -(-(low - load) // size)) for load in loads]
-    heap = [(load + n * size, j) for j, (load, n) in enumerate(zip(loads, dealt, strict=True))]
-    heapq.heapify(heap)
-    for _ in range(count - sum(dealt)):
-        load, j = heap[0]
-        dealt[j] += 1
-        heapq.heapreplace(heap, (load + size, j))
-    return dealt
+Turns = list[tuple[int, list[int]]]
 
 
-def schedule(classes: list[tuple[int, int, int]], shards: int) -> dict[int, list[int]]:
-    """For each (class, count, bytes), largest class first, the running totals of groups that shards 0, 1, ... take."""
-    loads = [0.0] * shards
-    ends: dict[int, list[int]] = {}
+def deal(loads: list[int], size: int, count: int) -> tuple[Turns, list[int]]:
+    """LPT's turns for `count` items of one size, runs of (first item, shards that take turns), and how many each shard takes."""
+    turns: Turns = []
+    dealt = [0] * len(loads)
+    heap = [(load, j) for j, load in enumerate(loads)]
+    heapq.heapify(heap)
+    level: list[tuple[int, int]] = []  # (load, shard) of those within one size of each other, the next one first
+    at = 0
+    while at < count:
+        if heap and (not level or heap[0] < level[0]):
+            level.append(heapq.heappop(heap))
+            level.sort()
+            continue
+        # How many items each takes while the shards outside are fuller: those that start before the first of them.
+        edge = heap[0] if heap else None
+        if edge is None:
+            taken = count - at
+        else:
+            taken = min(count - at, sum((edge[0] - load + (size - 1 if j > edge[1] else size)) // size if (load, j) < edge else 0 for load, j in level))
+        turns.append((at, [j for _, j in level]))
+        whole, part = divmod(taken, len(level))
+        for k, (load, j) in enumerate(level):
+            n = whole + (k < part)
+            dealt[j] += n
+            level[k] = (load + n * size, j)
+        level.sort()
+        at += taken
+    return turns, dealt
+
+
+def schedule(classes: list[tuple[int, int, int]], loads: list[float]) -> tuple[dict[int, Turns], list[float]]:
+    """Turns of each (class, count, bytes), largest class first, upon the shards' loads; and the loads after them."""
+    found: dict[int, Turns] = {}
     for name, count, total in sorted(classes, reverse=True):
         mean = total / count
-        dealt = deal([round(x) for x in loads], max(1, round(mean)), count)
+        found[name], dealt = deal([round(x) for x in loads], max(1, round(mean)), count)
         loads = [x + n * mean for x, n in zip(loads, dealt, strict=True)]
-        ends[name] = [sum(dealt[: j + 1]) for j in range(shards)]
-    return ends
+    return found, loads
 
 
 def assign_groups(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -77,26 +89,39 @@ def assign_groups(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
     spark = groups.sparkSession
     ranged = shared.written(
         groups.select("gid", "size", size_class(F.col("size")).alias("cls"))
-        .repartitionByRange(shared.partitions(spark), F.desc("cls"), "gid")
+        .repartitionByRange(shared.partitions(spark), F.desc("size"), "gid")
         .withColumn("pid", F.spark_partition_id()),
         "shard-groups",
     )
-    counted = ranged.groupBy("cls", "pid").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()
+    counted = sorted(ranged.groupBy("cls", "pid").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect(), key=lambda r: r["pid"])
     classes: dict[int, list[int]] = {}
     for r in counted:
         total = classes.setdefault(r["cls"], [0, 0])
         total[0] += r["n"]
         total[1] += r["bytes"]
-    ends = schedule([(c, n, b) for c, (n, b) in classes.items()], shards)
-    segments, before = [], dict.fromkeys(classes, 0)
-    for r in sorted(counted, key=lambda r: r["pid"]):
-        segments.append((r["cls"], r["pid"], before[r["cls"]], ends[r["cls"]]))
-        before[r["cls"]] += r["n"]
-    known = spark.createDataFrame(segments, "cls long, pid int, base long, ends array<long>")
-    rank = F.col("base") + F.row_number().over(Window.partitionBy("pid", "cls").orderBy("gid"))
-    # A row for each class and for each partition's edge: bounded by the number of classes, so it can be broadcast.
-    placed = ranged.join(F.broadcast(known), ["cls", "pid"]).withColumn("rank", rank)
-    return placed.select("gid", F.size(F.filter("ends", lambda end: end < F.col("rank"))).alias("shard"))
+
+    def placed(turns: dict[int, Turns]) -> DataFrame:
+        segments, before = [], dict.fromkeys(turns, 0)
+        for r in counted:
+            if r["cls"] in turns:
+                segments.append((r["cls"], r["pid"], before[r["cls"]], turns[r["cls"]]))
+                before[r["cls"]] += r["n"]
+        known = spark.createDataFrame(segments, "cls long, pid int, base long, turns array<struct<first:long,shards:array<int>>>")
+        rank = F.col("base") + F.row_number().over(Window.partitionBy("pid", "cls").orderBy(F.desc("size"), "gid")) - 1
+        # A row for each class and for each partition's edge: bounded by the number of classes, so it can be broadcast.
+        ranks = ranged.join(F.broadcast(known), ["cls", "pid"]).withColumn("rank", rank)
+        run = F.element_at(F.filter("turns", lambda t: t["first"] <= F.col("rank")), -1)
+        own = F.get(run["shards"], ((F.col("rank") - run["first"]) % F.size(run["shards"])).cast("int"))
+        return ranks.select("gid", "size", own.alias("shard"))
+
+    large = [(c, n, b) for c, (n, b) in classes.items() if c >= 1 << DIGITS]
+    turns, _ = schedule(large, [0.0] * shards)
+    loads = [0.0] * shards
+    if large:
+        for r in placed(turns).groupBy("shard").agg(F.sum("size").alias("bytes")).collect():
+            loads[r["shard"]] = float(r["bytes"])
+    turns |= schedule([(c, n, b) for c, (n, b) in classes.items() if c < 1 << DIGITS], loads)[0]
+    return placed(turns).select("gid", "shard")
 
 
 def slots(rows: DataFrame, order: list[str]) -> DataFrame:
