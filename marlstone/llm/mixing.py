@@ -18,7 +18,8 @@ most of the rows is never gathered in one task. All is DataFrame operations.
 Cases: a null source is a source of its own. Null and empty texts have no
 tokens; they and sources without any tokens are read as often as whole passes, once at least.
 Rows that repeat are each kept and stay together. A null doc_id has a key of its
-own. Extra columns stay. An empty table gives no rows.
+own. Extra columns stay; where one has the name of a column that is added, the added one
+gets a "_" at its end. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from . import shared
 REPEATS = 1.5
 BLOCKS = 4096
 SEED = "mix"
+ADDED = ("mix_source", "mix_tokens", "mix_block", "mix_key", "mix_epoch", "mix_turn")
 
 
 def weights(shares: list[float], exponent: float) -> list[float]:
@@ -131,8 +133,10 @@ def mixed(docs: DataFrame, repeats: float | None = REPEATS, target_entropy: floa
     """
     base = shared.written(keyed(docs.select("doc_id", "text", "source")).drop("text", "source"), "mix-rows")
     where = plan(base, repeats, target_entropy)
+    # A row's own columns travel in a struct, so that none of them meets a name of ours.
+    packed = docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     # Not hinted: Spark broadcasts the plan if it is small, else splits a hot source's join.
-    joined = keyed(docs).join(where, "mix_source")
+    joined = keyed(packed).join(where, "mix_source")
     turn = block_turn(F.col("mix_source"), F.col("mix_block"), F.col("mix_whole"))
     taken = F.col("mix_end_turn").isNotNull() & (
         (turn < F.col("mix_end_turn"))
@@ -142,7 +146,20 @@ def mixed(docs: DataFrame, repeats: float | None = REPEATS, target_entropy: floa
     epochs = F.sequence(F.lit(0), F.col("mix_whole") - 1 + taken.cast("int"))
     out = joined.withColumn("mix_epoch", F.explode(epochs))
     out = out.withColumn("mix_turn", block_turn(F.col("mix_source"), F.col("mix_block"), F.col("mix_epoch")))
-    return out.select(*docs.columns, "mix_source", "mix_tokens", "mix_block", "mix_key", "mix_epoch", "mix_turn")
+    names = added_names(docs.columns)
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), *(F.col(c).alias(name) for c, name in names.items()))
+
+
+def added_names(columns: list[str]) -> dict[str, str]:
+    """The names under which the columns of ADDED come beside those of the table."""
+    taken, names = {c.lower() for c in columns}, {}
+    for c in ADDED:
+        name = c
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        names[c] = name
+    return names
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

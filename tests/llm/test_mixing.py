@@ -133,3 +133,13 @@ def test_query_equals_sql(spark):
     want = sorted(con.sql(mixing.OP9_SQL).fetchall())
     got = sorted(tuple(r) for r in mixing.op9(spark, SF).collect())
     assert got == want and len(got) > 1000
+
+
+def test_clashing_names(spark):
+    rows = [(k, f"w {k} " * (k % 5), "a" if k % 3 else "b", k, "whole", 2 * k) for k in range(40)]
+    plain = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, source string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_key long, mix_whole string, Mix_Epoch long")
+    got = mixing.mixed(docs)
+    assert got.columns == [*docs.columns, "mix_source", "mix_tokens", "mix_block", "mix_key_", "mix_epoch_", "mix_turn"]
+    assert all(r.mix_key == r.doc_id and r.mix_whole == "whole" and r["Mix_Epoch"] == 2 * r.doc_id for r in got.collect())
+    assert sorted((r.doc_id, r.mix_epoch_, r.mix_key_) for r in got.collect()) == sorted((r.doc_id, r.mix_epoch, r.mix_key) for r in mixing.mixed(plain).collect())
