@@ -5,11 +5,13 @@ spans are reported only after a candidate's bytes were decoded and parsed:
 
 - ``jwt``: three base64url parts; the first a JSON object with "alg", the
   second a JSON object, the signature of the length that the algorithm gives;
-- ``der``: base64 (bare or in PEM armour) or hex that is a whole DER private
-  key: PKCS#1, SEC1 or PKCS#8, every nested length exact;
+- ``der``: base64 (in PEM armour, bare, or bare in lines) or hex that is a whole DER private
+  key: PKCS#1, SEC1, PKCS#8 plain or encrypted, every nested length exact;
 - ``openssh``: base64 (bare or armoured) or hex of an openssh-key-v1 container whose
   nested lengths use up the bytes.
 
+Line ends may be written as backslash n and backslash r, as they are in JSON. Keys whose armour says
+that their body is encrypted as a whole can't be parsed and are not reported.
 Spans are code points, end exclusive, of the whole match; armour is part of it.
 
 Cases: null and empty texts have no spans. Texts of any length are scanned
@@ -42,10 +44,15 @@ LEAST_VALUE = 6
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
-JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+# Base64 of "{" and what may follow it in JSON: a quote or white space.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])(?:ey[ABIJ]|ew[0ko])[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+BREAK = r"(?:\r?\n|\\r\\n|\\n)"
+ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]++|\\[nr])++)-----END \1-----")
 BARE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+LINES = re.compile(rf"(?<![A-Za-z0-9+/_-])M[A-Za-z0-9+/]{{39,}}(?:{BREAK}[A-Za-z0-9+/]++)++={{0,2}}")
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Za-z])")
+#: PBES2 and others of PKCS#5, and the schemes of PKCS#12, as DER object ids begin.
+PASSWORD_BASED = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x05", b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x01")
 
 #: Bytes of a signature by algorithm; None: any length.
 SIGNED = {"HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES256K": 64, "ES384": 96, "ES512": 132, "EdDSA": None, "RS256": None, "RS384": None, "RS512": None, "PS256": None, "PS384": None, "PS512": None, "none": 0}
@@ -64,7 +71,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def decoded(text: str) -> bytes | None:
     """The bytes of base64 or base64url with or without padding; None if it is neither."""
-    plain = re.sub(r"\s", "", text).rstrip("=").translate({ord("-"): "+", ord("_"): "/"})
+    plain = re.sub(r"\s|\\[nr]", "", text).rstrip("=").translate({ord("-"): "+", ord("_"): "/"})
     try:
         return base64.b64decode(plain + "=" * (-len(plain) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -93,11 +100,14 @@ def items(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes, nested: bool = True) -> bool:
-    """A whole DER private key: PKCS#1 RSA, SEC1 EC, or PKCS#8 around either or around a raw key."""
+    """A whole DER private key: PKCS#1 RSA, SEC1 EC, or PKCS#8 around either or around a raw key or an encrypted one."""
     outer = items(data) if data[:1] == b"\x30" else None
     if not outer or len(outer) != 1:
         return False
     parts = items(outer[0][1])
+    if parts and nested and [t for t, _ in parts] == [0x30, 4]:
+        algorithm = items(parts[0][1])
+        return bool(algorithm) and algorithm[0][0] == 6 and algorithm[0][1].startswith(PASSWORD_BASED) and len(parts[1][1]) >= 16
     if not parts or parts[0][0] != 2 or parts[0][1] not in (b"\0", b"\1"):
         return False
     tags = [t for t, _ in parts]
@@ -143,9 +153,10 @@ def is_token(text: str) -> bool:
         known = [json.loads(decoded(x) or b"") for x in (head, claims)]
     except (ValueError, RecursionError):
         return False
-    if not all(isinstance(x, dict) for x in known) or known[0].get("alg") not in SIGNED:
+    alg = known[0].get("alg") if all(isinstance(x, dict) for x in known) else None
+    if not isinstance(alg, str) or alg not in SIGNED:
         return False
-    data, need = decoded(signature) if signature else b"", SIGNED[known[0]["alg"]]
+    data, need = decoded(signature) if signature else b"", SIGNED[alg]
     return data is not None and (len(data) == need if need is not None else len(data) >= 64)
 
 
@@ -155,10 +166,33 @@ def _kind(data: bytes | None) -> int | None:
     return 4 if is_der_key(data) else 5 if is_openssh_key(data) else None
 
 
+def lines_of_key(text: str) -> int | None:
+    """Where a DER key in base64 lines ends within text, whose first line it begins with; None if it isn't one.
+
+    The outer length tells how many signs belong to it; they must end with a line.
+    """
+    head = decoded(text[:8])
+    if not head or head[:1] != b"\x30" or len(head) < 6:
+        return None
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    if n > 4:
+        return None
+    size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+    left = -(-size * 4 // 3)
+    for m in re.finditer("[A-Za-z0-9+/]+|" + BREAK, text):
+        left -= len(m[0]) if m[0][0] not in "\r\n\\" else 0
+        if left <= 0:
+            end = m.end()
+            while text[end : end + 1] == "=" and end - m.end() < 2:
+                end += 1
+            return end if left == 0 and is_der_key(decoded(text[:end]) or b"") else None
+    return None
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what decodes and parses."""
     found: list[tuple[int, int, int]] = []
-    if "eyJ" in text:
+    if "." in text:
         found += [(m.start(), 3, m.end()) for m in JWT.finditer(text) if is_token(m[0])]
     taken: list[tuple[int, int]] = []
     if "-----BEGIN " in text:
@@ -166,6 +200,10 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
             if (kind := _kind(decoded(m[2]))) is not None:
                 found.append((m.start(), kind, m.end()))
                 taken.append(m.span())
+    for m in LINES.finditer(text):
+        if not any(a <= m.start() < b for a, b in taken) and (end := lines_of_key(m[0])) is not None:
+            found.append((m.start(), 4, m.start() + end))
+            taken.append((m.start(), m.start() + end))
     for pattern, bytes_of in ((BARE, decoded), (LONG_HEX, lambda x: bytes.fromhex(x) if len(x) % 2 == 0 else None)):
         for m in pattern.finditer(text):
             # "MII", "MC", "MH", "b3Bl", "30": how DER sequences and the OpenSSH magic begin

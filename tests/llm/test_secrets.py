@@ -107,3 +107,54 @@ def test_query(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     got = {r.doc_id: tuple(r)[1:5] for r in sx.op6(spark, "/root/testdata/sf0.001").collect()}
     assert got == {r.doc_id: brute(r.text)[:4] for r in rows}
+
+
+ENCRYPTED = tlv(0x30, tlv(0x30, tlv(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d") + tlv(0x30, b"\x05\0")) + tlv(4, bytes(range(64))))
+
+
+def test_encrypted_pkcs8():
+    assert sx.is_der_key(ENCRYPTED) and not sx.is_der_key(ENCRYPTED[:-1])
+    assert not sx.is_der_key(tlv(0x30, tlv(0x30, tlv(6, b"\x60\x86\x48\x01\x65\x03\x04\x02\x01") + b"\x05\0") + tlv(4, bytes(32))))  # a digest's shape
+
+
+@pytest.mark.parametrize("key", [RSA, PKCS8, ENCRYPTED])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n", "\\r\\n"])
+def test_keys_in_lines(key, end):
+    body = end.join(re.findall(".{1,64}", b64(key)))
+    pem = f"-----BEGIN PRIVATE KEY-----{end}{body}{end}-----END PRIVATE KEY-----"
+    text = f"é {pem} and"
+    assert [(text[a:b], k) for a, k, b in sx.confirmed_spans(text)] == [(pem, 4)]
+    for after in ("", end + "word", end + end + "word", '"'):
+        text = f"é {body}{after}"
+        assert [(text[a:b], k) for a, k, b in sx.confirmed_spans(text)] == [(body, 4)], after
+    assert sx.confirmed_spans("é " + body[:-6] + "x" + end + "word") == []
+
+
+@pytest.mark.parametrize("head", ['{"alg":"HS256"}', '{ "alg":"HS256"}', '{\n"alg":"HS256"}', '{\r\n "alg":"HS256"}', '{\t"alg":"HS256"}'])
+def test_token_headers(head):
+    token = ".".join([url(head.encode()), url(b'{"sub":1}'), url(bytes(32))])
+    assert [k for _, k, _ in sx.confirmed_spans(f"see {token} here")] == [3]
+
+
+@pytest.mark.parametrize("alg", ["[]", "{}", "1", "null", '"XX"'])
+def test_odd_algorithms(alg):
+    token = ".".join([url(f'{{"alg":{alg}}}'.encode()), url(b'{"sub":1}'), url(bytes(32))])
+    assert sx.confirmed_spans(token) == []
+
+
+def test_recall_over_planted_keys():
+    """Each kind of key in each writing, at many places: all are found, with exact spans."""
+    forms = {
+        "bare": b64, "hex": bytes.hex, "HEX": lambda k: k.hex().upper(), "armour": lambda k: f"-----BEGIN PRIVATE KEY-----\n{b64(k)}\n-----END PRIVATE KEY-----",
+        "lines": lambda k: "\n".join(re.findall(".{1,76}", b64(k))),
+    }
+    missed = []
+    for name, form in forms.items():
+        for kind, key in {"rsa": RSA, "ec": EC, "pkcs8": PKCS8, "ed": ED, "encrypted": ENCRYPTED, "ssh": SSH}.items():
+            if name == "lines" and kind == "ssh":
+                continue  # no outer length tells where its lines end
+            for before, after in (("", ""), ("key = ", " ."), ("\n", "\n"), ('"', '"')):
+                text = before + form(key) + after
+                if (len(before), 5 if kind == "ssh" else 4, len(before) + len(form(key))) not in sx.confirmed_spans(text):
+                    missed.append((name, kind, before))
+    assert missed == []
