@@ -91,18 +91,23 @@ def headers(head: bytes) -> dict[str, str]:
 
 
 def inflate(stream) -> Iterator[bytes]:
-    """The inflated bytes of a gzip file of one or more members, in chunks."""
-    member = zlib.decompressobj(31)
+    """The inflated bytes of a gzip file of one or more members, in chunks; ValueError if it ends within a member."""
+    member, begun = zlib.decompressobj(31), False
     while data := stream.read(CHUNK):
         while data:
+            begun = True
             if made := member.decompress(data, 4 * CHUNK):
                 yield made
             if member.eof:
-                data, member = member.unused_data, zlib.decompressobj(31)
+                data, member, begun = member.unused_data, zlib.decompressobj(31), False
             else:
                 data = member.unconsumed_tail
         while not member.eof and (made := member.decompress(b"", 4 * CHUNK)):
             yield made
+        if member.eof:
+            member, begun = zlib.decompressobj(31), False
+    if begun:
+        raise ValueError("the archive ends within a gzip member")
 
 
 def records(chunks: Iterator[bytes]) -> Iterator[bytes]:
@@ -192,7 +197,7 @@ def write_streams(marked: DataFrame, folder: str, level: int = 1) -> DataFrame:
             out.close()
             yield _file(path, n, wrote)
 
-    return shared.written(marked.mapInArrow(write, FILES), "warc-streams")
+    return shared.written(marked.mapInArrow(write, FILES), "warc-streams", keep=True)
 
 
 def _file(path: str, n: int, size: int) -> pa.RecordBatch:
@@ -218,7 +223,7 @@ def normalise_files(spark: SparkSession, files: DataFrame, folder: str, level: i
                 k += 1
                 yield _file(made, n, size)
 
-    return shared.written(_each(spark, files).mapInArrow(work, FILES), "warc-members")
+    return shared.written(_each(spark, files).mapInArrow(work, FILES), "warc-members", keep=True)
 
 
 def read_files(spark: SparkSession, files: DataFrame) -> DataFrame:

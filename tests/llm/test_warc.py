@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import io
+import zlib
 
 import duckdb
 import pyarrow as pa
@@ -87,3 +88,17 @@ def test_query_equals_sql(spark):
     con.execute("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.001/pages.parquet'")
     want = sorted(con.sql(warc.OP2_SQL).fetchall(), key=key)
     assert sorted((tuple(r) for r in warc.op2(spark, "/root/testdata/sf0.001").collect()), key=key) == want
+
+
+def test_an_archive_cut_at_a_record_is_refused():
+    """All records before the cut are whole, but the gzip member isn't."""
+    whole = b"".join(warc.record(k, "u", b"x" * 50, "d", None) for k in range(3))
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    flushed = packer.compress(whole) + packer.flush(zlib.Z_SYNC_FLUSH)
+    assert b"".join(warc.inflate(io.BytesIO(flushed + packer.flush()))) == whole
+    with pytest.raises(ValueError, match="within a gzip member"):
+        list(warc.records(warc.inflate(io.BytesIO(flushed))))
+    one = gzip.compress(whole)
+    assert b"".join(warc.inflate(io.BytesIO(one + one))) == whole * 2
+    with pytest.raises(ValueError, match="within a gzip member"):
+        list(warc.inflate(io.BytesIO(one + one[:20])))
