@@ -11,7 +11,8 @@ JSON's length as uint32, and the magic again.
 
 Cases: null and empty texts hold the end id alone. Rows that repeat a doc_id
 are kept, ordered by their texts' hash. A null doc_id comes first. Other columns are
-ignored. An empty table gives no files and no rows.
+ignored. An empty table gives no files and no rows. A file is closed once it holds ROLL ids, so its size
+doesn't grow with the corpus; a document is never split.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ from . import shared
 
 MAGIC = b"MTOKPK01"
 BLOCK = 1 << 18
+ROLL = 1 << 27
 END_ID = 2
 CACHE = 400_000
-MANIFEST = "part int, path string, n_docs long, n_tokens long, n_blocks long, n_bytes long"
+MANIFEST = "part int, turn int, path string, n_docs long, n_tokens long, n_blocks long, n_bytes long"
 
 
 def width(vocabulary: int) -> int:
@@ -188,8 +190,12 @@ class Encoder:
     and every tokenizer with another pipeline, goes to the library whole.
     """
 
-    #: The split that the short way stands for.
-    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: The normaliser and the splits that the short way stands for.
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    SPLITS = {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]}
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -199,10 +205,12 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocabulary = max(self.whole.get_vocab_size(), 1 + max(self.whole.get_vocab().values(), default=0))
-        names = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        splits = [x.get("pattern", {}).get("Regex") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         suffix = spec["model"].get("end_of_word_suffix")
-        self.short = names == ["NFC", "Replace", "Lowercase"] and splits == [self.SPLIT, None] and bool(suffix)
+        # Added tokens that hold a "<" aren't in plain texts.
+        plain_added = all("<" in x["content"] for x in spec.get("added_tokens") or [])
+        model = spec["model"]
+        plain_model = model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix")
+        self.short = spec.get("normalizer") == self.NORMALIZER and spec.get("pre_tokenizer") == self.SPLITS and plain_added and plain_model and bool(suffix)
         if self.short:
             self.pieces_only = Tokenizer.from_file(path)
             self.pieces_only.normalizer = normalizers.Sequence([])
@@ -269,11 +277,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, block: int = BLOCK) -> DataFrame:
+def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, block: int = BLOCK, roll: int = ROLL) -> DataFrame:
     """Encode docs (doc_id, text) into files of ascending doc_id below folder; returns the manifest, a row for each file.
 
     One range shuffle of the texts, on the document's id and its text's hash.
-    A file is a task's rows, written as a stream. Its name holds the task
+    A task's rows become a file, or one after each `roll` ids, written as streams. Names hold the task
     attempt; the manifest, committed by Spark, names the files that count.
     """
     spark = docs.sparkSession
@@ -287,22 +295,30 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, out, path = encoder(tokenizer), None, f"{folder}/{shared.attempt_name()}.tok"
+        coder, out, turn, name = encoder(tokenizer), None, 0, f"{folder}/{shared.attempt_name()}"
         end = np.array([end_id], "<u4").tobytes()
+
+        def closed() -> pa.RecordBatch:
+            head = out.close()
+            numbers = {k: pa.array([head[k]], pa.int64()) for k in ("n_docs", "n_tokens", "n_blocks", "n_bytes")}
+            return pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "turn": pa.array([turn], pa.int32()), "path": [f"{name}-{turn}.tok"], **numbers})
+
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
                 ids = part.column(0).to_pylist()
                 texts = [x or "" for x in part.column(1).to_pylist()]
-                if out is None and ids:
-                    out = Writer(shared.open_output(path), width(max(coder.vocabulary, end_id + 1)), block)
                 for doc_id, data in zip(ids, coder.encode(texts), strict=True):
+                    if out is None:
+                        out = Writer(shared.open_output(f"{name}-{turn}.tok"), width(max(coder.vocabulary, end_id + 1)), block)
                     out.add(doc_id, np.frombuffer(data + end, "<u4"))
+                    if out.n_tokens >= roll:
+                        yield closed()
+                        out, turn = None, turn + 1
         if out is not None:
-            head = out.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [path], **{k: pa.array([head[k]], pa.int64()) for k in ("n_docs", "n_tokens", "n_blocks", "n_bytes")}})
+            yield closed()
 
-    return shared.written(ranged.mapInArrow(write, MANIFEST), "token-manifest")
+    return shared.written(ranged.mapInArrow(write, MANIFEST), "token-manifest", keep=True)
 
 
 def read_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -311,7 +327,7 @@ def read_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     The driver sees a row for each file, to sum up where each file starts.
     """
     files, start = [], 0
-    for row in manifest.select("part", "path", "n_tokens").orderBy("part").collect():
+    for row in manifest.select("path", "n_tokens").orderBy("part", "turn").collect():
         files.append((len(files), row["path"], start))
         start += row["n_tokens"]
 

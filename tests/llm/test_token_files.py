@@ -1,4 +1,5 @@
 import io
+import json
 import zlib
 
 import numpy as np
@@ -89,6 +90,40 @@ def test_empty_table(spark):
     assert tf.token_files(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_rolled_files(spark, tmp_path):
+    rows = [(k, "one two three " * (k % 7)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = tf.write_files(docs, str(tmp_path), PATH, roll=25)
+    assert manifest.count() >= 16 and manifest.selectExpr("max(n_tokens) AS n").first().n < 25 + 20
+    assert sorted(tuple(r)[:4] for r in tf.read_files(spark, manifest).collect()) == sorted(brute(rows))
+
+
+def test_other_pipelines_go_to_the_library(tmp_path):
+    """The short way is taken only for the pipeline that it stands for."""
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    assert tf.Encoder(PATH).short
+    replaced = json.loads(json.dumps(spec["normalizer"]))
+    replaced["normalizers"][1]["content"] = "_"
+    added = {"id": 49408, "content": "world", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False}
+    for k, change in enumerate([{"normalizer": replaced}, {"normalizer": None}, {"added_tokens": [*spec["added_tokens"], added]}]):
+        path = str(tmp_path / f"{k}.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(spec | change, f)
+        coder, whole = tf.Encoder(path), Tokenizer.from_file(path)
+        assert not coder.short
+        assert np.frombuffer(coder.encode(["Hello  world, A b"])[0], "<u4").tolist() == whole.encode("Hello  world, A b", add_special_tokens=False).ids
+
+
+def test_encoder_equals_library_on_all_documents(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    coder = tf.Encoder(PATH)
+    for low in range(0, len(texts), 500):
+        part = texts[low : low + 500]
+        want = WHOLE.encode_batch_fast(part, add_special_tokens=False)
+        assert coder.encode(part) == [np.array(x.ids, "<u4").tobytes() for x in want]
+
+
 def test_query(spark):
     got = tf.op1(spark, "/root/testdata/sf0.001").collect()
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
