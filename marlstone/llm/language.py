@@ -43,7 +43,7 @@ FEATURES = 256
 EPOCHS = 4
 REJECTED = 0.001
 SMOOTHED = 100
-CACHE = 250_000
+CACHE = 100_000
 UND = "und"
 EDGE = re.compile(r"[\W\d_]+")
 
@@ -252,7 +252,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            found = [x for low in range(0, batch.num_rows, 500) for x in m.predict(batch.column(1).slice(low, 500).to_pylist())]
+            found = [x for low in range(0, batch.num_rows, 250) for x in m.predict(batch.column(1).slice(low, 250).to_pylist())]
             score = np.array([s for _, s in found], "f8")
             lang = pa.array([lang for lang, _ in found], pa.string())
             keep = pa.array([lang != UND and s >= m.reject for lang, s in found], pa.bool_())
@@ -270,7 +270,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            found = [x for low in range(0, batch.num_rows, 500) for x in m.predict(batch.column(at).slice(low, 500).to_pylist())]
+            found = [x for low in range(0, batch.num_rows, 250) for x in m.predict(batch.column(at).slice(low, 250).to_pylist())]
             keep = [lang != UND and s >= m.reject for lang, s in found]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -34,7 +34,7 @@ MAGIC = b"MTOKPK01"
 BLOCK = 1 << 18
 ROLL = 1 << 27
 END_ID = 2
-CACHE = 400_000
+CACHE = 200_000
 MANIFEST = "part int, turn int, path string, n_docs long, n_tokens long, n_blocks long, n_bytes long"
 
 
