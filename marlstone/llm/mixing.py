@@ -78,12 +78,12 @@ def number(text: Column, start: int, digits: int) -> Column:
     return F.conv(F.substring(text, start, digits), 16, 10).cast("long")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs with mix_source, mix_tokens, mix_block and mix_key. Tokens are words between ASCII blanks and controls 9 to 13."""
-    digest = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    digest = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
     return docs.withColumns({
-        "mix_source": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")),
-        "mix_tokens": F.coalesce(F.regexp_count("text", F.lit("[^ \\t-\\r]+")), F.lit(0)).cast("long"),
+        "mix_source": F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")),
+        "mix_tokens": F.coalesce(F.regexp_count(text, F.lit("[^ \\t-\\r]+")), F.lit(0)).cast("long"),
         "mix_block": number(digest, 1, 3),
         "mix_key": number(digest, 4, 12),
     })
@@ -133,10 +133,10 @@ def mixed(docs: DataFrame, repeats: float | None = REPEATS, target_entropy: floa
     """
     base = shared.written(keyed(docs.select("doc_id", "text", "source")).drop("text", "source"), "mix-rows")
     where = plan(base, repeats, target_entropy)
-    # A row's own columns travel in a struct, so that none of them meets a name of ours.
-    packed = docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    # A row's own columns go by number, so that none of them meets a name of ours.
+    own = {c: f"own_{k}" for k, c in enumerate(docs.columns)}
     # Not hinted: Spark broadcasts the plan if it is small, else splits a hot source's join.
-    joined = keyed(packed).join(where, "mix_source")
+    joined = keyed(docs.toDF(*own.values()), own["doc_id"], own["text"], own["source"]).join(where, "mix_source")
     turn = block_turn(F.col("mix_source"), F.col("mix_block"), F.col("mix_whole"))
     taken = F.col("mix_end_turn").isNotNull() & (
         (turn < F.col("mix_end_turn"))
@@ -147,7 +147,7 @@ def mixed(docs: DataFrame, repeats: float | None = REPEATS, target_entropy: floa
     out = joined.withColumn("mix_epoch", F.explode(epochs))
     out = out.withColumn("mix_turn", block_turn(F.col("mix_source"), F.col("mix_block"), F.col("mix_epoch")))
     names = added_names(docs.columns)
-    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), *(F.col(c).alias(name) for c, name in names.items()))
+    return out.select(*(F.col(number).alias(c) for c, number in own.items()), *(F.col(c).alias(name) for c, name in names.items()))
 
 
 def added_names(columns: list[str]) -> dict[str, str]:
