@@ -118,8 +118,8 @@ SIGNALS: dict = {
         "upi_receive": _signal(3.0, "Receiving money needs no PIN or scan", "upi_receive", True),
         "link_apk": _signal(2.5, "The link installs an app", "malicious_app", True),
         "link_ip": _signal(1.2, "The link is a bare address"), "link_shortener": _signal(0.8, "The link is shortened"),
-        "link_suspicious_tld": _signal(0.8, "The link has an unusual ending"), "link_lookalike": _signal(1.5, "{host} resembles {brand}"),
-        "link_bank_unofficial": _signal(2.0, "{host} is no bank's address", "kyc"), "link_present": _signal(0.3, "There is a link", show=False),
+        "link_suspicious_tld": _signal(0.8, "The link has an unusual ending"), "link_lookalike": _signal(1.5, "{domain} holds a known name"),
+        "link_bank_unofficial": _signal(2.0, "{domain} is no bank's address", "kyc"), "link_present": _signal(0.3, "There is a link", show=False),
         "official_link": _signal(-1.0, "All links are official"), "link_hiding": _signal(1.5, "It asks to mend a broken link"),
         "call_mobile_claims_org": _signal(1.5, "A mobile number calls for an office", "impersonation"), "sender_mobile_claims_org": _signal(1.2, "A mobile number writes for an office", "impersonation"),
         "dlt_sender": _signal(-0.6, "The sender is registered"), "bank_1600_caller": _signal(-1.0, "The number is of the bank series"),
@@ -141,7 +141,7 @@ SIGNALS: dict = {
         "app_install": _signal(1.2, "It asks to install an app", "malicious_app"), "lookalike_text": _signal(1.2, "Letters of other scripts are mixed in"),
         "genuine_otp_delivery": _signal(-2.0, "It only delivers a code"), "genuine_txn_alert": _signal(-1.5, "It only tells of a payment"), "doorstep_code": _signal(-1.0, "A code for the agent at the door"), "advisory": _signal(-1.0, "It warns"),
         "no_pressure": _signal(-0.5, "Nothing presses"), "in_person": _signal(-0.8, "It asks to come in person"), "nothing_asked": _signal(-0.8, "Nothing was asked"),
-        "pattern_match": _signal(1.5, "It resembles a known scam ({similarity})"), "classifier_flag": _signal(0.8, "The model takes it for a scam", show=False),
+        "pattern_match": {"weight": 1.5, "hard": False, "reason": _two("It resembles a known scam: {name}", "यह एक जाने हुए धोखे जैसा है: {name_hi}")}, "classifier_flag": _signal(0.8, "The model takes it for a scam", show=False),
     },
     "lexicons": {
         "account_terms": ["account", "a/c", "acct", "card"], "action_terms": ["click", "tap", "fill", "submit"], "advance_ask": ["advance", "token amount"], "advance_fee": ["registration fee", "processing fee", "fee"],

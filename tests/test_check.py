@@ -22,7 +22,8 @@ def ids(text, sender=None, kind="text"):
         ("Please share the OTP now", "otp_request", "advisory"),
         ("Never share the OTP with anyone", "advisory", "otp_request"),
         ("Scan the QR code and enter PIN to receive Rs 500", "upi_receive", "advance_fee"),
-        ("Update KYC or account blocked: http://sbi-kyc-update.xyz/a", "link_bank_unofficial", "official_link"),
+        ("Update KYC or account blocked: http://sbi-kyc-update.xyz/a", "link_lookalike", "link_bank_unofficial"),
+        ("Your bank account will be blocked: http://update-now.xyz/a", "link_bank_unofficial", "link_lookalike"),
         ("see https://www.sbi.co.in/x", "official_link", "link_present"),
         ("get it at http://1.2.3.4/app.apk", "link_apk", "official_link"),
         ("parcel seized by customs, courier desk", "courier_seized", "delivery_fee"),
@@ -85,7 +86,7 @@ def test_senders_and_calls():
 
 def test_links_fire_in_link_order_and_once():
     found = [s for s in ENGINE.run("http://bit.ly/a http://9.9.9.9/b http://cutt.ly/c") if s["id"].startswith("link")]
-    assert [s["id"] for s in found] == ["link_shortener", "link_present", "link_ip"] and found[0]["evidence"] == {"host": "bit.ly"}
+    assert [s["id"] for s in found] == ["link_shortener", "link_present", "link_ip"] and found[0]["evidence"] == {"domain": "bit.ly"}
 
 
 def test_every_rule_is_defined_in_the_pack():
@@ -122,10 +123,10 @@ def test_qr_cards(spark):
 
 def test_category_ties_and_reason_slots(spark):
     row = lambda k, i, w, h=False, e=None, c=None: (k, i, w, h, e or {}, c)
-    df = spark.createDataFrame([(1, [row(0, "prize", 1.5), row(1, "loan_offer", 1.5)], None), (2, [row(0, "link_present", 2.0)], None), (3, [row(0, "link_lookalike", 3.0, False, {"host": "h", "brand": "b"})], None), (4, [], None)], f"id int, fired {scoring.FIRED}, unread string")
+    df = spark.createDataFrame([(1, [row(0, "prize", 1.5), row(1, "loan_offer", 1.5)], None), (2, [row(0, "link_present", 2.0)], None), (3, [row(0, "link_lookalike", 3.0, False, {"domain": "h"})], None), (4, [], None)], f"id int, fired {scoring.FIRED}, unread string")
     got = {r.id: r for r in scoring.scored(df, packs.SIGNALS).collect()}
     assert got[1].category == "prize" and got[2].category == "generic" and got[2].reason_ids == ["link_present"]
-    assert got[3].reasons_en == ["h resembles b"] and got[4].reason_ids == ["no_signals"] and got[4].reasons_en == ["Nothing stood out"]
+    assert got[3].reasons_en == ["h holds a known name"] and got[4].reason_ids == ["no_signals"] and got[4].reasons_en == ["Nothing stood out"]
 
 
 def test_similarity_edges(spark):
