@@ -1,4 +1,4 @@
-"""Messages with the signals they fire under the synthetic pack, worked out by hand from the rules, for queries and tests."""
+"""Texts with results worked out by hand from the rules, for queries and tests; signals are those under the synthetic pack."""
 
 #: (text, sender, input type, signals in firing order).
 SIGNAL_CASES: list[tuple[str, str | None, str, list[str]]] = [
@@ -87,3 +87,59 @@ SIGNAL_CASES: list[tuple[str, str | None, str, list[str]]] = [
     ("he asked for nothing", None, "call", ["nothing_asked"]),
     ("", None, "text", []),
 ]
+
+#: (text, folded).
+FOLD_CASES: list[tuple[str, str]] = [
+    ("0TP bl0cked upd4te XX4421 covid19", "otp blocked update xx4421 covid19"),
+    ("hxxps://Site[.]top/x", "https://site.top/x"),
+    ("site (dot) in", "site.in"),
+    ("go dot com", "go.com"),
+    ("dlvry-in . help/pay", "dlvry-in.help/pay"),
+    ("done . in the", "done . in the"),
+    ("Straße ＡＢ १२३", "strasse ab 123"),
+    ("SВI", "sbi"),
+    ("क़ानून हँस", "कानून हंस"),
+    ("  It’s “so”\t\t now ", "it's \"so\" now"),
+    ("", ""),
+]
+
+#: (text, sender, language, sender kind, hosts, mobiles, amounts, money at risk).
+CONTEXT_CASES: list[tuple] = [
+    ("pay ₹1,25,000 now", None, "en", None, [], [], [125000.0], 125000.0),
+    ("Rs. 2.5 lakh for you", "", "en", None, [], [], [250000.0], 250000.0),
+    ("10 हजार रुपये भेजें", "AX-HDFCBK-T", "hi", "dlt", [], [], [10000.0], 10000.0),
+    ("only 499/-", "+91 98765 43210", "en", "mobile", [], [], [499.0], 499.0),
+    ("5 crore rupees", "1600123456", "en", "1600", [], [], [5e7], 5e7),
+    ("pay 100 or 200 rs", "HDFC Bank", "en", "other", [], [], [200.0], 200.0),
+    ("call +91 98765 43210", None, "en", None, [], ["9876543210"], [], 0.0),
+    ("call 09876543210", None, "en", None, [], ["9876543210"], [], 0.0),
+    ("1234567890 and 19876543210", None, "en", None, [], [], [], 0.0),
+    ("98765-43210 and 9876543210", None, "en", None, [], ["9876543210"], [], 0.0),
+    ("https://www.Example.com:8080/a, and example.com/b", None, "en", None, ["example.com"], [], [], 0.0),
+    ("10.0.0.1/x and 10.0.0.2", None, "en", None, ["10.0.0.1"], [], [], 0.0),
+    ("see a.b-c.co.in/x?y=1).", None, "en", None, ["a.b-c.co.in"], [], [], 0.0),
+    ("wa.me/919876543210", None, "en", None, ["wa.me"], ["9876543210"], [], 0.0),
+    ("aap ka paisa", None, "hinglish", None, [], [], [], 0.0),
+    # The prize is bait, the fee is asked for; a fee as near as the bait wins; without any cue the largest counts.
+    ("you won rs 5000. pay rs 99 as fee", None, "en", None, [], [], [5000.0, 99.0], 99.0),
+    ("fee rs 70 loan", None, "en", None, [], [], [70.0], 70.0),
+    ("a prize of rs 800", None, "en", None, [], [], [800.0], 0.0),
+    ("rs 10 and rs 30", None, "en", None, [], [], [10.0, 30.0], 30.0),
+    ("😀 rs 7", None, "en", None, [], [], [7.0], 7.0),
+    ("", None, "en", None, [], [], [], 0.0),
+]
+
+#: (payload, kind, amount as told, flags, number of facts, text to check).
+PAYLOAD_CASES: list[tuple] = [
+    ("upi://pay?pa=a1@ybl&pn=Offers&am=4999&tn=Cashback", "upi", "₹4,999", ["receive_claim"], 1, "Scan the QR and enter your UPI PIN to receive money. Cashback Offers"),
+    ("upi://pay?pa=k1@okbank&pn=SBI%20KYC&am=10&tn=Update", "upi", "₹10", ["official_name"], 2, "Pay ₹10 to SBI KYC (k1@okbank). Update"),
+    ("upi://pay?pa=k1@okbank&pn=SBI%20KYC&am=10&mc=0000", "upi", "₹10", [], 1, "Pay ₹10 to SBI KYC (k1@okbank)."),
+    ("upi://pay?pa=shop@upi&pn=Corner+Shop&am=250", "upi", "₹250", [], 1, "Pay ₹250 to Corner Shop (shop@upi)."),
+    ("UPI://pay?PA=shop@upi&am=12500.5", "upi", "₹12,500.50", ["large_amount"], 1, "Pay ₹12,500.50 to  (shop@upi)."),
+    ("upi://pay?pa=x@y&am=0", "upi", None, [], 1, "Pay money to  (x@y)."),
+    ("upi://pay?pa=x@y&am=abc&tn=gift", "upi", None, ["receive_claim"], 1, "Scan the QR and enter your UPI PIN to receive money. gift"),
+    ("https://a.com/x", "link", None, [], 0, "https://a.com/x"),
+    ("WWW.a.com", "link", None, [], 0, "WWW.a.com"),
+    (" upi://pay?pa=x@y", "text", None, [], 0, " upi://pay?pa=x@y"),
+    ("hello", "text", None, [], 0, "hello"),
+]

@@ -7,12 +7,14 @@ payloads are made from `customer` and `orders` by fixed rules.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import extract, text
 from .operators import classifier, eligibility, payments, scoring, similarity, spans
+from .message_cases import CONTEXT_CASES, FOLD_CASES, PAYLOAD_CASES, SIGNAL_CASES
 from .operators import signals as signal_rules
 from .plans import check
 from .plans.logic import Scope, name_of, truth
@@ -32,6 +34,21 @@ def query(sql: str | None = None):
     return add
 
 
+def literal(x) -> str:
+    """A value as SQL."""
+    if x is None:
+        return "NULL"
+    if isinstance(x, list):
+        return "[" + ", ".join(map(literal, x)) + "]"
+    return str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
+
+
+def values_sql(columns: dict[str, str], rows: list[tuple]) -> str:
+    """SQL for rows known in advance: a column `case_no` and the given ones, by name and type."""
+    body = ", ".join(f"({k}, {', '.join(map(literal, r))})" for k, r in enumerate(rows))
+    return f"SELECT case_no, {', '.join(f'{c}::{t} AS {c}' for c, t in columns.items())} FROM (VALUES {body}) v(case_no, {', '.join(columns)})"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -87,18 +104,32 @@ def pattern_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 6)).select("doc_id", "item_id", "similarity", "rank")
 
 
+CONTAINS_BLOCK = 1000
+
+
 @query("SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)")
 def pattern_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a pattern's whole text: candidates hold its longest inner word, then the text is compared.
+    return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
-    The first and last word may lie within longer words of the document; an inner one may not.
+
+def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of items whose whole text a document holds: candidates hold its longest inner word, then the text is compared.
+
+    The first and last word may lie within longer words of the document; an inner one may not. Items of one or two
+    words have no inner word: they are looked for in each document, CONTAINS_BLOCK of them in a pass.
     """
     pieces = F.split("text", " ")
     inner = F.array_max(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), inner["w"].alias("w"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = items.where(F.col("text").isNotNull()).select("item_id", F.col("text").alias("item"), inner["w"].alias("w"))
+    docs = docs.select("doc_id", "text")
     candidates = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("w")).join(items, "w").select("doc_id", "item_id", "item")
-    return candidates.join(docs, "doc_id").where(F.contains("text", "item")).select("doc_id", "item_id")
+    found = candidates.join(docs, "doc_id").where(F.contains("text", "item")).select("doc_id", "item_id")
+    short = items.where("w IS NULL").select("item_id", "item").toLocalIterator()
+    while block := list(islice(short, CONTAINS_BLOCK)):
+        known = F.array(*(F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["item"]).alias("item")) for r in block))
+        own = docs.select("doc_id", F.explode(F.filter(known, lambda x: F.contains("text", x["item"]))).alias("x")).select("doc_id", "x.item_id")
+        found = found.unionByName(own)
+    return found
 
 
 # ---------------------------------------------------------------- text and entities
@@ -131,17 +162,33 @@ def conversation_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy(extract.language_col(F.col("text")).alias("lang_class")).agg(F.count(F.lit(1)).alias("turns"))
 
 
-@query("SELECT doc_id, CAST(NULL AS VARCHAR) AS unread FROM documents WHERE NOT regexp_matches(text, '[\\x{0600}-\\x{1c7f}]') UNION ALL SELECT doc_id, 'some' FROM documents WHERE regexp_matches(text, '[\\x{0600}-\\x{1c7f}]')")
+#: A letter of some scripts that aren't read, in the order in which they are tried.
+SOME_SCRIPTS = ("bn", "ta", "ur", "mni")
+SOME_LETTERS = ("ক", "அ", "ا", "ꯀ")
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN o_custkey % 7 = 6 AND o_orderkey % 3 < 2 THEN 'mr' WHEN o_custkey % 7 < 6 AND n >= 8 AND n >= 0.25 * (n + latin) THEN {literal(list(SOME_SCRIPTS))}[(o_custkey % 4 + 1)::INT] END AS unread
+  FROM (SELECT o_orderkey, o_custkey, o_orderkey % 17 AS n, o_custkey % 40 AS latin FROM orders)""")
 def unread_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", extract.unread_script_col("text").alias("unread"))
+    """Made-up texts: some letters of a script beside Latin ones, or Marathi words beside Hindi ones."""
+    letter = F.element_at(F.lit(list(SOME_LETTERS)), (F.col("o_custkey") % 4 + 1).cast("int"))
+    mixed = F.concat(F.repeat(letter, (F.col("o_orderkey") % 17).cast("int")), F.lit(" "), F.repeat(F.lit("x"), (F.col("o_custkey") % 40).cast("int")))
+    words = F.concat(F.lit("आहे आणि "), F.repeat(F.lit("है "), (F.col("o_orderkey") % 3).cast("int")))
+    made = F.when(F.col("o_custkey") % 7 == 6, words).otherwise(mixed)
+    return table(spark, sf_dir, "orders").select("o_orderkey", extract.unread_script_col(made).alias("unread"))
 
 
-PHONE_RE2 = "(?:^|[^0-9])(?:(?:\\+\\+)?91(?:[\\s-][\\s-])?|0)?([6-9][0-9]{4}(?:[\\s-][\\s-])?[0-9]{5})(?:$|[^0-9])"
+DIGITS_SQL = "lpad((o_custkey % 100000)::VARCHAR, 5, '0')"
 
 
-@query(f"SELECT DISTINCT doc_id, regexp_replace(m, '[^0-9]', '', 'g') AS mobile FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '([^0-9])', '\\1\\1', 'g'), '{PHONE_RE2}', 1)) AS m FROM documents)")
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (0, 1, 2) THEN ['98765' || {DIGITS_SQL}] WHEN o_orderkey % 6 = 3 THEN ['98765' || {DIGITS_SQL}, '61234' || {DIGITS_SQL}] ELSE [] END::VARCHAR[] AS mobiles FROM orders""")
 def extract_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(extract.mobiles_col(F.col("text"))).alias("mobile"))
+    """Numbers of made-up messages: with a country code, with a 0, twice in two writings, two of them, of a first digit that no mobile has, too long."""
+    tail = F.lpad((F.col("o_custkey") % 100000).cast("string"), 5, "0")
+    join = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    made = [join("call +91 98765 ", tail, "."), join("ring 098765", tail), join("98765-", tail, " and 98765", tail), join("98765", tail, " or 61234 ", tail), join("51234", tail), join("9876543", tail)]
+    text_ = F.element_at(F.array(*made), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", extract.mobiles_col(text_).alias("mobiles"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}')) AS n_quads FROM documents WHERE regexp_matches(text, '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}')")
@@ -156,18 +203,26 @@ def extract_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.size("emails") > 0)
 
 
-@query("SELECT c_custkey, 'pay to shop' || c_custkey || '@okbank now or mail a' || c_custkey || '@mail.com' AS message, ['shop' || c_custkey || '@okbank'] AS upi_ids FROM customer")
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN ['shop' || c_custkey || '@okbank'] WHEN 1 THEN ['a.' || c_custkey || '-b@ybl', 'c' || c_custkey || '@upi'] WHEN 2 THEN ['s' || c_custkey || '@ab'] ELSE [] END::VARCHAR[] AS upi_ids FROM customer""")
 def extract_upi_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Handles of made-up messages: beside a mail address, two of them, one written twice, none with a dot after it, none with one sign before the @."""
     key = F.col("c_custkey").cast("string")
-    made = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("pay to Shop"), key, F.lit("@okbank now or mail a"), key, F.lit("@mail.com")).alias("message"))
-    return made.select("c_custkey", F.lower("message").alias("message"), extract.handles_col(F.col("message")).alias("upi_ids"))
+    forms = ("pay to Shop#@okbank now or mail a#@mail.com", "A.#-b@ybl or c#@UPI!", "s#@ab and S#@AB", "mail me: x#@post.in", "x@y or #@9ab")
+    message = F.element_at(F.array(*(F.replace(F.lit(f), F.lit("#"), key) for f in forms)), (F.col("c_custkey") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", extract.handles_col(message).alias("upi_ids"))
 
 
-@query("SELECT o_orderkey, [(o_custkey * 1000)::DOUBLE, (o_custkey % 90 + 10) * 100000.0] AS amounts FROM orders")
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN [(n * 1000)::DOUBLE, (n % 90 + 10) * 100000.0] WHEN 1 THEN [n + 0.5::DOUBLE] WHEN 2 THEN [(n % 9 + 1) * 1e7] WHEN 3 THEN [100000.0 + n % 1000]
+  WHEN 4 THEN [n::DOUBLE] ELSE [] END::DOUBLE[] AS amounts FROM (SELECT o_orderkey, o_custkey % 1000 + 1000 AS n FROM orders)""")
 def extract_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Amounts of made-up messages: one with its currency first, one with a unit."""
-    message = F.concat(F.lit("pay rs "), (F.col("o_custkey") * 1000).cast("string"), F.lit(" or "), (F.col("o_custkey") % 90 + 10).cast("string"), F.lit(" lakh rupees"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", extract.amounts_col(message).alias("amounts"))
+    """Amounts of made-up messages: two with the currency first and last, paise, crores, Indian commas, "/-", and numbers that are no amounts."""
+    n = F.col("o_custkey") % 1000 + 1000
+    word = lambda x: x.cast("string")
+    made = [
+        F.concat(F.lit("pay rs "), word(n * 1000), F.lit(" or "), word(n % 90 + 10), F.lit(" lakh rupees")), F.concat(F.lit("₹"), word(n), F.lit(".50 due")),
+        F.concat(word(n % 9 + 1), F.lit(" crore रुपये")), F.concat(F.lit("INR 1,00,"), F.lpad(word(n % 1000), 3, "0")), F.concat(word(n), F.lit("/-")), F.concat(F.lit("call "), word(n), F.lit(" or rsvp 5")),
+    ]
+    return table(spark, sf_dir, "orders").select("o_orderkey", extract.amounts_col(F.element_at(F.array(*made), (F.col("o_orderkey") % 6 + 1).cast("int"))).alias("amounts"))
 
 
 @query()
@@ -254,9 +309,53 @@ def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.fold_col("text").alias("folded"))
 
 
-@query("SELECT doc_id, 0::INT AS mixed FROM documents WHERE NOT regexp_matches(text, '[\\x{0370}-\\x{04ff}]')")
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN [] WHEN 1 THEN ['S' || 'В' || 'I' || p_size] WHEN 2 THEN ['p' || 'α', 'q' || 'ж' || p_size] ELSE [] END::VARCHAR[] AS mixed FROM part")
 def token_mixed_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.mixed_script_col("text")).alias("mixed"))
+    """Tokens of made-up names: plain, one with a Cyrillic letter, two mixed, and whole words of another script."""
+    size = F.col("p_size").cast("string")
+    made = [F.concat("p_name", F.lit(" "), size), F.concat(F.lit("SВI"), size, F.lit(" bank")), F.concat(F.lit("pα, (qж"), size, F.lit(")")), F.concat(F.lit("слово λόγος "), size)]
+    return table(spark, sf_dir, "part").select("p_partkey", text.mixed_script_col(F.element_at(F.array(*made), (F.col("p_partkey") % 4 + 1).cast("int"))).alias("mixed"))
+
+
+@query(values_sql({"folded": "VARCHAR"}, [(f,) for _, f in FOLD_CASES]))
+def fold_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(FOLD_CASES)], "case_no int, text string")
+    return made.select("case_no", text.fold_col("text").alias("folded"))
+
+
+@query(values_sql({"signals": "VARCHAR[]"}, [(signals,) for *_, signals in SIGNAL_CASES]))
+def signal_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fired signals of messages whose signals are known."""
+    made = spark.createDataFrame([(k, t, s, i) for k, (t, s, i, _) in enumerate(SIGNAL_CASES)], "case_no int, text string, sender string, kind string").hint("rebalance")
+    fired = signal_rules.signals_col(spark, packs.SIGNALS)("text", "sender", "kind")
+    return made.select("case_no", F.transform(fired, lambda x: x["id"]).alias("signals"))
+
+
+CONTEXT_COLUMNS = {"lang": "VARCHAR", "sender_kind": "VARCHAR", "hosts": "VARCHAR[]", "mobiles": "VARCHAR[]", "amounts": "DOUBLE[]", "rupees_at_risk": "DOUBLE"}
+
+
+@query(values_sql(CONTEXT_COLUMNS, [r[2:] for r in CONTEXT_CASES]))
+def context_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = spark.createDataFrame([(k, r[0], r[1]) for k, r in enumerate(CONTEXT_CASES)], "message_id int, text string, sender string").withColumn("input_type", F.lit("text"))
+    found = check.context(made).withColumn("hosts", F.transform("urls", lambda x: x["host"]))
+    return found.select(F.col("message_id").alias("case_no"), *CONTEXT_COLUMNS)
+
+
+PAYLOAD_COLUMNS = {"kind": "VARCHAR", "amount_text": "VARCHAR", "flags": "VARCHAR[]", "n_facts": "INT", "check_text": "VARCHAR"}
+
+
+@query(values_sql(PAYLOAD_COLUMNS, [r[1:] for r in PAYLOAD_CASES]))
+def payload_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = spark.createDataFrame([(k, r[0]) for k, r in enumerate(PAYLOAD_CASES)], "case_no int, payload string")
+    found = made.select("case_no", payments.analyse_col("payload").alias("q"))
+    return found.select("case_no", "q.kind", "q.amount_text", "q.flags", F.size("q.facts").alias("n_facts"), "q.check_text")
+
+
+@query(values_sql({"bucket": "INT", "n": "INT"}, [(27654, 1)]))
+def murmur_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the n-grams of "abc", that of the word itself, whose bucket is known."""
+    found = spark.createDataFrame([(0, "abc")], "case_no int, text string").select("case_no", F.explode(classifier.ngram_buckets(F.col("text"))).alias("b"))
+    return found.select("case_no", F.col("b.bucket").cast("int").alias("bucket"), F.col("b.n").cast("int").alias("n")).where("bucket = 27654")
 
 
 @query()

@@ -153,3 +153,32 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(r.n for r in spark.table("verdicts").collect()) == len(rows)
+
+
+def test_rounding_equals_python(spark):
+    import random
+
+    rng = random.Random(8)
+    values = [2.675, 0.0125, 2.5, 1.0005, 0.0005, 2.0015, -2.675, -0.0005, 0.0, 1e9 + 0.0005, 12345.6785, 3.0, -1.5]
+    values += [round(rng.uniform(-9, 9), 4) for _ in range(2000)] + [k / 2048 for k in range(-300, 300)] + [rng.uniform(-1e6, 1e6) for _ in range(500)]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", *(scoring.py_round(F.col("x"), n).alias(f"r{n}") for n in (0, 2, 3))).collect()
+    assert [tuple(r)[1:] for r in got] == [(round(r.x, 0), round(r.x, 2), round(r.x, 3)) for r in got]
+
+
+def test_short_items_are_contained(spark):
+    from marlstone import queries
+
+    items = spark.createDataFrame([(1, "alpha beta"), (2, "alpha beta gamma"), (3, "pha"), (4, ""), (5, None), (6, "beta gamma delta")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "an alpha beta gamma x"), (2, "alphabet"), (3, None), (4, "")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in queries.contained(docs, items).collect())
+    assert got == [(1, 1), (1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (4, 4)]
+
+
+def test_large_pattern_tables_are_joined(spark, monkeypatch):
+    patterns = spark.createDataFrame([(7, "alpha beta"), (3, "alpha beta"), (9, "gamma delta")], "p int, t string")
+    texts = spark.createDataFrame([(1, "ALPHA beta"), (2, "zzz"), (3, ""), (4, None), (5, "gamma alphabet"), (6, "aé beta gamma")], "k int, t string")
+    rows = lambda f: sorted((r.k, r.p, round(r.similarity, 9)) for r in f.collect())
+    near, top = (lambda: rows(similarity.best_match(texts, "k", "t", patterns, "p", "t"))), (lambda: rows(similarity.top_matches(texts, "k", "t", patterns, "p", "t", 2)))
+    small = near(), top()
+    monkeypatch.setattr(similarity, "MOST_WEIGHTS", 3)
+    assert (near(), top()) == small and len(small[0]) == 6
