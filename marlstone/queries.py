@@ -72,7 +72,7 @@ PATTERNS_SQL = "WITH texts AS (SELECT 'p' AS side, item_id AS id, text FROM benc
 
 
 def best_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.best_match(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return similarity.best_match(table(spark, sf_dir, "documents").hint("rebalance"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
 @query(BOTH_SQL + "SELECT d.doc_id, coalesce(item_id, (SELECT min(item_id) FROM benchmark)) AS item_id, round(coalesce(s, 0), 6) AS similarity FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN best USING (doc_id)")
@@ -100,7 +100,7 @@ def pattern_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(BOTH_SQL + "SELECT doc_id, item_id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY doc_id ORDER BY round(s, 9) DESC, item_id)::INT AS rank FROM sims QUALIFY rank <= 3")
 def pattern_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = similarity.top_matches(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    found = similarity.top_matches(table(spark, sf_dir, "documents").hint("rebalance"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
     return found.withColumn("similarity", F.round("similarity", 6)).select("doc_id", "item_id", "similarity", "rank")
 
 
