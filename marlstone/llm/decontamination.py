@@ -258,6 +258,7 @@ def in_blocks(docs: DataFrame, items: DataFrame, window: int, block: int, key: s
 
     Each block's hits are written before the block after the next is built.
     """
+    shared.modest_batches(docs.sparkSession)
     blocks = indexes(items, window, block)
     first, second = next(blocks, None), next(blocks, None)
     if second is None:

@@ -223,6 +223,7 @@ def even_share(counts: list[int], total: int) -> int:
 
 def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str]]:
     """About `sample` rows (words, lang) at most, dealt evenly over languages. The driver sees a number for each language and these rows."""
+    shared.modest_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     share = even_share(list(counts.values()), sample)

@@ -34,7 +34,7 @@ MAGIC = b"MTOKPK01"
 BLOCK = 1 << 18
 ROLL = 1 << 27
 END_ID = 2
-CACHE = 200_000
+CACHE = 150_000
 MANIFEST = "part int, turn int, path string, n_docs long, n_tokens long, n_blocks long, n_bytes long"
 
 
@@ -285,6 +285,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
     attempt; the manifest, committed by Spark, names the files that count.
     """
     spark = docs.sparkSession
+    shared.modest_batches(spark)
     ranged = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("h"))
         .repartitionByRange(shared.partitions(spark), "doc_id", "h")
