@@ -34,7 +34,7 @@ MAGIC = b"MTOKPK01"
 BLOCK = 1 << 18
 ROLL = 1 << 27
 END_ID = 2
-CACHE = 150_000
+CACHE = 250_000
 MANIFEST = "part int, turn int, path string, n_docs long, n_tokens long, n_blocks long, n_bytes long"
 
 
@@ -223,8 +223,8 @@ class Encoder:
         self.by_piece: dict[str, bytes] = {}
         self.by_word: dict[str, bytes] = {}
 
-    def _learn(self, words: set[str]) -> None:
-        """Encode the pieces that are new, many in a call; a piece ends with an id whose token ends a word."""
+    def _learn(self, words: set[str]) -> list[str]:
+        """Encode the pieces that are new, many in a call, and give them; a piece ends with an id whose token ends a word."""
         split = {w: self.piece.findall(w) for w in words}
         new = sorted({p for pieces in split.values() for p in pieces if p not in self.by_piece})
         lines = [" ".join(new[k : k + 64]) for k in range(0, len(new), 64)]
@@ -243,23 +243,25 @@ class Encoder:
         get = self.by_piece.__getitem__
         for w, pieces in split.items():
             self.by_word[w] = get(pieces[0]) if len(pieces) == 1 else b"".join(map(get, pieces))
+        return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian uint32. Holds CACHE words and what the texts add."""
         out: list[bytes] = [b""] * len(texts)
-        slow, quick, known = [], [], self.by_word
+        slow, quick, known, learnt = [], [], self.by_word, []
         for k, text in enumerate(texts):
             if text and (not self.short or self.odd.search(text)):
                 slow.append(k)
             elif text:
                 quick.append((k, text.lower().split()))
         if new := {w for _, words in quick for w in words if w not in known}:
-            self._learn(new)
+            learnt = self._learn(new)
         for k, words in quick:
             out[k] = b"".join(map(known.__getitem__, words))
-        for cache in (known, self.by_piece):
-            if len(cache) > CACHE:
-                cache.clear()
+        for cache, added in ((known, new), (self.by_piece, learnt)):
+            if len(cache) > CACHE:  # full caches keep what they had
+                for x in added:
+                    del cache[x]
         for low in range(0, len(slow), 256):
             own = slow[low : low + 256]
             for k, found in zip(own, self.whole.encode_batch_fast([texts[i] for i in own], add_special_tokens=False), strict=True):
