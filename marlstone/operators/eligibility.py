@@ -5,19 +5,32 @@ and texts (see ``validate``). Its rules become columns once, on the driver;
 every person is one row, so there is no join with schemes or questions.
 
 Answers are one row for each (person, question): person_id, qid, int_val,
-str_val, arr_val, ord. Answers that the pack doesn't know are told in `problems`.
+str_val, arr_val, ord. Answers that the pack doesn't know are told in `problems`
+and left out of the profile.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import string
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.logic import AGE_LEAST, AGE_MOST, CODE, NAMES, Scope, age_probes, any_of, name_of, nodes, trail, truth
 
-STATUS = {"T": "likely", "L": "likely", "U": "check", "F": "no"}
-GROUPS = ("have", "likely", "unlock", "check", "no")
-SLIP_TITLES = {"likely": "LIKELY", "unlock": "UNLOCK", "check": "CHECK", "have": "HAVE"}
+# Statuses, the order of their groups, and the slip's words.
+STATUS = {"T": "eligible", "L": "likely", "U": "check", "F": "not_eligible"}
+GROUPS = ("eligible", "likely", "check", "unlock", "have", "not_eligible")
+SLIP_TITLES = {
+    "eligible": "ELIGIBLE", "likely": "LIKELY (needs proof)", "check": "CHECK AT OFFICE",
+    "unlock": "AFTER OPENING A BANK ACCOUNT", "have": "ALREADY GETS",
+}
+SLIP_END = "No name stored. Guidance only; the office decides."
+YEARS = {"en": "years", "hi": "साल"}
+
+#: Groups worth a visit, and those whose documents are listed.
+USEFUL, VISIT = GROUPS[:5], GROUPS[:3]
+WORDS = "struct<en:string,hi:string>"
 LANGS = ("en", "hi")
 
 
@@ -50,7 +63,7 @@ def validate(pack: dict) -> None:
 
 
 def facts_of(answers: DataFrame, pack: dict) -> DataFrame:
-    """One row a person: facts, age_low, age_high, answered (question ids), problems. Later answers overwrite facts.
+    """One row a person: facts, age_low, age_high, answered (question ids), given (the answers), problems. Later answers overwrite facts.
 
     Each answer becomes entries of a map by expressions on the pack; one
     aggregate by person orders and merges them.
@@ -91,8 +104,8 @@ def facts_of(answers: DataFrame, pack: dict) -> DataFrame:
             bad = F.array_except("arr_val", F.lit([o["id"] for o in q["options"]]))
             problem = F.when(own & (F.col("arr_val").isNull() | (F.size(bad) > 0)), F.concat(F.lit(f"not answers to {q['id']}: "), F.coalesce(F.array_join(bad, ","), F.lit("")))).otherwise(problem)
     problem = F.when(~F.col("qid").isin(known), F.concat(F.lit("unknown question "), "qid")).otherwise(problem)
-    read = answers.select("person_id", "ord", "qid", low.alias("low"), high.alias("high"), entries.alias("entries"), problem.alias("problem"))
-    rows = F.array_sort(F.collect_list(F.struct("ord", "qid", "low", "high", "entries", "problem")))
+    read = answers.select("person_id", "ord", "qid", low.alias("low"), high.alias("high"), entries.alias("entries"), problem.alias("problem"), "int_val", "str_val", "arr_val")
+    rows = F.array_sort(F.collect_list(F.struct("ord", "qid", "low", "high", "entries", "problem", "int_val", "str_val", "arr_val")))
     merged = F.aggregate(
         F.flatten(F.transform("rows", lambda r: r["entries"])), F.create_map().cast("map<string,tinyint>"),
         lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != e["k"]), F.create_map(e["k"], e["v"])),
@@ -104,6 +117,7 @@ def facts_of(answers: DataFrame, pack: dict) -> DataFrame:
         F.coalesce(F.try_element_at(aged, F.lit(-1))["low"], F.lit(AGE_LEAST)).alias("age_low"),
         F.coalesce(F.try_element_at(aged, F.lit(-1))["high"], F.lit(AGE_MOST)).alias("age_high"),
         F.transform("rows", lambda r: r["qid"]).alias("answered"),
+        F.transform("rows", lambda r: F.struct(r["qid"].alias("qid"), r["int_val"].alias("int_val"), r["str_val"].alias("str_val"), r["arr_val"].alias("arr_val"), r["problem"].alias("problem"))).alias("given"),
         F.filter(F.transform("rows", lambda r: r["problem"]), lambda p: p.isNotNull()).alias("problems"),
     )
 
@@ -154,12 +168,61 @@ def next_question(people: DataFrame, pack: dict) -> DataFrame:
     return asked.withColumns({"next_question": F.col("next.id"), "next_options": F.col("next.options")}).drop("next")
 
 
-def cards(people: DataFrame, pack: dict, have: str | None = None) -> DataFrame:
-    """A row for each person and scheme: truth, status, reasons, unlock, counter text, benefit_now, sources.
+def _words(text: dict) -> Column:
+    return F.struct(*(F.lit(text[lang]).alias(lang) for lang in LANGS)).cast(WORDS)
 
-    have names a column of scheme ids that a person has already.
-    """
+
+def format_n(template: str, n: Column) -> Column:
+    """A template of the pack with {n} filled in; doubled braces stand for themselves."""
+    parts = []
+    for plain, field, spec, conversion in string.Formatter().parse(template):
+        parts.append(F.lit(plain))
+        if field is not None:
+            if field != "n" or spec or conversion:
+                raise PackError(f"unsupported field in '{template}'")
+            parts.append(n.cast("string"))
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def age_phrase(pack: dict, lang: str) -> Column:
+    """An exact age in words, the phrase of the band that was chosen, or nothing."""
+    exact = F.col("age_low") == F.col("age_high")
+    phrase = F.when(exact, format_n(pack["age_phrase"]["exact"][lang], F.col("age_low")))
+    for b in next(q for q in pack["questions"] if q["kind"] == "age")["bands"]:
+        phrase = phrase.when((F.col("age_low") == b["range"][0]) & (F.col("age_high") == b["range"][1]), b["phrase"][lang])
+    return phrase.otherwise("")
+
+
+def profile(pack: dict) -> Column:
+    """The answers of a person of facts_of in question order, in words: id, short, answer and code of each."""
+    made = []
+    for q in pack["questions"]:
+        last = F.try_element_at(F.filter("given", _asked(q["id"])), F.lit(-1))
+        if q["kind"] == "multi":
+            chosen = F.filter(F.array(*(F.when(F.array_contains(last["arr_val"], o["id"]), F.struct(F.lit(o["id"]).alias("id"), *(F.lit(o["label"][lang]).alias(lang) for lang in LANGS))) for o in q["options"])), lambda o: o.isNotNull())
+            joined = F.struct(*(F.array_join(F.transform(chosen, _part(lang)), "; ").alias(lang) for lang in LANGS)).cast(WORDS)
+            answer = F.when(F.size(chosen) > 0, joined).otherwise(_words(q["none"]))
+            code = F.when(F.size(chosen) > 0, F.array_join(F.transform(chosen, _part("id")), "+")).otherwise("none")
+        else:
+            answer, code = F.lit(None).cast(WORDS), last["str_val"]
+            for o in q["bands"] if q["kind"] == "age" else q["options"]:
+                answer = F.when(code == o["id"], _words(o["label"])).otherwise(answer)
+            if q["kind"] == "age":
+                years = F.struct(*(F.concat(last["int_val"].cast("string"), F.lit(f" {YEARS[lang]}")).alias(lang) for lang in LANGS)).cast(WORDS)
+                answer, code = F.when(last["int_val"].isNotNull(), years).otherwise(answer), F.coalesce(last["int_val"].cast("string"), code)
+        entry = F.struct(F.lit(q["id"]).alias("id"), _words(q["short"]).alias("short"), answer.alias("answer"), code.alias("code"))
+        made.append(F.when(last.isNotNull() & last["problem"].isNull(), entry))
+    return F.filter(F.array(*made), lambda x: x.isNotNull())
+
+
+def card_list(pack: dict, have: str | None = None) -> Column:
+    """A card for each scheme, in pack order, of a person of facts_of."""
     scope = scope_of()
+    phrases = {lang: age_phrase(pack, lang) for lang in LANGS}
+
+    def filled(text: str, lang: str) -> Column:
+        return F.trim(F.regexp_replace(F.replace(F.lit(text), F.lit("{age_phrase}"), phrases[lang]), "\\s+", " "))
+
     made = []
     for k, s in enumerate(pack["schemes"]):
         value, said = trail(s["rule"], scope)
@@ -170,21 +233,47 @@ def cards(people: DataFrame, pack: dict, have: str | None = None) -> DataFrame:
             status = status.when(value == CODE[name], STATUS[name])
         reasons = F.array(*(F.struct(F.lit(t["en"]).alias("en"), F.lit(t["hi"]).alias("hi"), name_of(v).alias("truth")) for t, v in said)).cast("array<struct<en:string,hi:string,truth:string>>")
         reasons = F.when((value == CODE["F"]) & key.isNull(), F.filter(reasons, lambda r: r["truth"] == "F")).otherwise(reasons)
-        now = F.lit(None).cast("string")
+        now = {lang: F.lit(None).cast("string") for lang in LANGS}
         for v in reversed(s.get("benefit_now", [])):
             met = truth(v["when"], scope) == CODE["T"] if v.get("when") else F.lit(True)
-            now = F.when(met, F.lit(v["en"])).otherwise(now)
-        counter = F.when(status == "check", F.lit(s["counter"].get("check", s["counter"]["default"])["en"])).otherwise(F.lit(s["counter"]["default"]["en"]))
+            now = {lang: F.when(met, F.lit(v[lang])).otherwise(now[lang]) for lang in LANGS}
+        default = s["counter"]["default"]
+        counter = {lang: F.when(status == "check", filled((s["counter"].get("check") or default)[lang], lang)).otherwise(filled(default[lang], lang)) for lang in LANGS}
         made.append(F.struct(
             F.lit(k).alias("ord"), F.lit(s["id"]).alias("scheme"), F.lit(s["short"]).alias("short"), name_of(value).alias("truth"), status.alias("status"), key.alias("unlock"),
-            reasons.alias("reasons"), now.alias("benefit_now"), counter.alias("counter"), F.lit(s["documents"]).cast("array<string>").alias("documents"), F.lit(s.get("sources", [])).cast("array<string>").alias("sources"),
+            reasons.alias("reasons"), now["en"].alias("benefit_now"), now["hi"].alias("benefit_now_hi"), counter["en"].alias("counter"), counter["hi"].alias("counter_hi"),
+            F.lit(s["documents"]).cast("array<string>").alias("documents"), F.lit(s.get("sources", [])).cast("array<string>").alias("sources"),
         ))
-    out = people.select("person_id", "age_low", "age_high", F.explode(F.array(*made)).alias("card")).select("person_id", "age_low", "age_high", "card.*")
-    phrase = F.when(F.col("age_low") == F.col("age_high"), F.concat(F.lit("aged "), F.col("age_low").cast("string")))
-    for b in next(q for q in pack["questions"] if q["kind"] == "age")["bands"]:
-        phrase = phrase.when((F.col("age_low") == b["range"][0]) & (F.col("age_high") == b["range"][1]), b["phrase"]["en"])
-    text = F.replace("counter", F.lit("{age_phrase}"), F.coalesce(phrase, F.lit("")))
-    return out.withColumn("counter", F.trim(F.regexp_replace(text, "\\s+", " "))).drop("age_low", "age_high")
+    return F.array(*made)
+
+
+def cards(people: DataFrame, pack: dict, have: str | None = None) -> DataFrame:
+    """A row for each person and scheme: truth, status, reasons, unlock, counter text, benefit_now, documents, sources.
+
+    have names a column of scheme ids that a person has already. Texts that are the same for all are in `scheme_texts`.
+    """
+    return people.select("person_id", F.explode(card_list(pack, have)).alias("card")).select("person_id", "card.*")
+
+
+def scheme_texts(spark: SparkSession, pack: dict) -> DataFrame:
+    """A row for each scheme of the pack: ord, scheme, short, family, name, what, benefit, where, notes, check_how, source_rows."""
+    rows = [
+        (k, s["id"], s["short"], s["family"], s["name"], s["what"], s["benefit"], s["where"], s.get("notes", []), s.get("check_how"),
+         [{"id": x} | {name: str(v) for name, v in pack["sources"][x].items()} for x in s.get("sources", [])])
+        for k, s in enumerate(pack["schemes"])
+    ]
+    return spark.createDataFrame(rows, f"ord int, scheme string, short string, family string, name {WORDS}, what {WORDS}, benefit {WORDS}, where {WORDS}, notes array<{WORDS}>, check_how {WORDS}, source_rows array<map<string,string>>")
+
+
+def catalog(spark: SparkSession, pack: dict) -> DataFrame:
+    """The schemes on offer: ord, scheme, short, family, name, what."""
+    return scheme_texts(spark, pack).select("ord", "scheme", "short", "family", "name", "what")
+
+
+def described(found: DataFrame, pack: dict) -> DataFrame:
+    """Cards with their schemes' texts; check_how only where the status is check. The pack's rows, one a scheme, are broadcast."""
+    texts = scheme_texts(found.sparkSession, pack).drop("ord", "short")
+    return found.join(F.broadcast(texts), "scheme").withColumn("check_how", F.when(F.col("status") == "check", F.col("check_how")))
 
 
 def groups(found: DataFrame) -> DataFrame:
@@ -193,23 +282,43 @@ def groups(found: DataFrame) -> DataFrame:
 
 
 def checklist(found: DataFrame) -> DataFrame:
-    """(person_id, document, schemes): documents by their name before " (", most wanted first in `place`."""
+    """(person_id, place, document, schemes): documents of schemes worth a visit, by their name before " (", the most wanted first."""
     name = F.trim(F.lower(F.substring_index("document", " (", 1)))
-    rows = found.where(F.col("status").isin("likely", "check", "unlock")).select("person_id", "scheme", "ord", F.posexplode("documents").alias("pos", "document"))
-    counted = rows.groupBy("person_id", name.alias("name")).agg(F.count_distinct("scheme").alias("schemes"), F.min(F.struct("ord", "pos", "document")).alias("first"))
-    return counted.select("person_id", F.col("first.document").alias("document"), "schemes")
+    rank = F.array_position(F.lit(list(VISIT)), F.col("status"))
+    rows = found.where(F.col("status").isin(*VISIT)).select("person_id", "short", "ord", rank.alias("rank"), F.posexplode("documents").alias("pos", "document"))
+    counted = rows.groupBy("person_id", name.alias("name")).agg(F.count_distinct("short").alias("schemes"), F.min(F.struct("rank", "ord", "pos", "document")).alias("first"))
+    # A person's list is no longer than the documents of the pack.
+    place = F.row_number().over(Window.partitionBy("person_id").orderBy(F.desc("schemes"), "first"))
+    return counted.select("person_id", place.alias("place"), F.col("first.document").alias("document"), "schemes")
+
+
+def results(people: DataFrame, pack: dict, date: str, have: str | None = None) -> DataFrame:
+    """The end of the interview in one row a person: asked, useful, profile, cards, groups, slip and problems; no shuffle."""
+    made = people.select("person_id", F.size("answered").alias("asked"), "problems", profile(pack).alias("profile"), card_list(pack, have).alias("cards"))
+    ids = {g: F.transform(F.filter("cards", _is(g)), _part("scheme")) for g in GROUPS}
+    lines = [F.lit(f"{pack.get('slip_title', 'SLIP')} | {pack['pack']} pack {pack['version']} | {date}")]
+    lines.append(F.array_join(F.transform("profile", lambda p: F.concat(p["id"], F.lit("="), p["code"])), "; "))
+    for status, title in SLIP_TITLES.items():
+        own = F.transform(F.filter("cards", _is(status)), _part("short"))
+        lines.append(F.when(F.size(own) > 0, F.concat(F.lit(f"{title}: "), F.array_join(own, ", "))))
+    return made.select(
+        "person_id", "asked", F.size(F.filter("cards", lambda c: c["status"].isin(*USEFUL))).alias("useful"), "profile", "cards",
+        F.struct(*(ids[g].alias(g) for g in GROUPS)).alias("groups"), F.concat_ws("\n", *lines, F.lit(SLIP_END)).alias("slip"), "problems",
+    )
 
 
 def slip(people: DataFrame, pack: dict, date: str, have: str | None = None) -> DataFrame:
-    """(person_id, slip): the printed summary, a line for each group that has schemes."""
-    by = cards(people, pack, have).groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("ord", "short", "status"))).alias("all"))
-    lines = [F.lit(f"SLIP | {pack['pack']} {pack['version']} | {date}")]
-    for status, title in SLIP_TITLES.items():
-        own = F.transform(F.filter("all", _is(status)), lambda x: x["short"])
-        lines.append(F.when(F.size(own) > 0, F.concat(F.lit(f"{title}: "), F.array_join(own, ", "))))
-    lines.append(F.lit("Guidance only; the office decides."))
-    return by.select("person_id", F.concat_ws("\n", *lines).alias("slip"))
+    """(person_id, slip): the printed summary: the answers, and a line for each group that has schemes."""
+    return results(people, pack, date, have).select("person_id", "slip")
 
 
 def _is(status: str):
     return lambda x: x["status"] == status
+
+
+def _asked(qid: str):
+    return lambda x: x["qid"] == qid
+
+
+def _part(name: str):
+    return lambda x: x[name]

@@ -529,7 +529,7 @@ t AS (SELECT *, least(farmer, [3, 1, 1, 0][taxpayer + 1], account) AS t1, least(
   least([3, 1, 1, 0][urban + 1], greatest(farmer, widow), CASE WHEN age >= 18 THEN 3 ELSE 0 END) AS t4 FROM f),
 s AS (SELECT *, CASE WHEN t1 = 0 AND account = 0 AND t1_open > 0 THEN 'u' ELSE 'FULT'[t1 + 1] END AS s1, 'FULT'[t2 + 1] AS s2, 'FULT'[t3 + 1] AS s3, 'FULT'[t4 + 1] AS s4 FROM t),
 long AS (SELECT person_id, unnest([{'ord': 0, 'scheme': 'farm_support', 'sig': s1}, {'ord': 1, 'scheme': 'old_age_pension', 'sig': s2}, {'ord': 2, 'scheme': 'student_grant', 'sig': s3}, {'ord': 3, 'scheme': 'village_homes', 'sig': s4}]) AS x FROM s),
-cards AS (SELECT person_id, x.ord AS ord, x.scheme AS scheme, CASE x.sig WHEN 'u' THEN 'F' ELSE x.sig END AS truth, CASE x.sig WHEN 'u' THEN 'unlock' WHEN 'F' THEN 'no' WHEN 'U' THEN 'check' ELSE 'likely' END AS status, x.sig AS sig FROM long)
+cards AS (SELECT person_id, x.ord AS ord, x.scheme AS scheme, CASE x.sig WHEN 'u' THEN 'F' ELSE x.sig END AS truth, CASE x.sig WHEN 'u' THEN 'unlock' WHEN 'F' THEN 'not_eligible' WHEN 'U' THEN 'check' WHEN 'L' THEN 'likely' ELSE 'eligible' END AS status, x.sig AS sig FROM long)
 """
 
 
@@ -565,18 +565,50 @@ def status_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eligibility.groups(eligibility.cards(people(spark, sf_dir), packs.SCHEMES))
 
 
-@query(PEOPLE_SQL + """SELECT person_id, arg_min(doc, ord * 10 + pos) AS document, count(DISTINCT scheme) AS schemes FROM (
-  SELECT c.*, d.pos, d.doc FROM cards c JOIN (VALUES ('farm_support', 0, 'ID card (any)'), ('farm_support', 1, 'Land record'), ('old_age_pension', 0, 'id card (original)'), ('old_age_pension', 1, 'Age proof'), ('student_grant', 0, 'ID card'), ('student_grant', 1, 'Marks'), ('village_homes', 0, 'ID card')) d(scheme, pos, doc) ON c.scheme = d.scheme
-  WHERE status IN ('likely', 'check', 'unlock')) GROUP BY person_id, lower(trim(split_part(doc, ' (', 1)))""")
+@query(PEOPLE_SQL + """, docs AS (SELECT person_id, arg_min(doc, r * 100 + ord * 10 + pos) AS document, count(DISTINCT scheme) AS schemes, min(r * 100 + ord * 10 + pos) AS first FROM (
+  SELECT c.*, d.pos, d.doc, CASE status WHEN 'eligible' THEN 1 WHEN 'likely' THEN 2 ELSE 3 END AS r FROM cards c JOIN (VALUES ('farm_support', 0, 'ID card (any)'), ('farm_support', 1, 'Land record'), ('old_age_pension', 0, 'id card (original)'), ('old_age_pension', 1, 'Age proof'), ('student_grant', 0, 'ID card'), ('student_grant', 1, 'Marks'), ('village_homes', 0, 'ID card')) d(scheme, pos, doc) ON c.scheme = d.scheme
+  WHERE status IN ('eligible', 'likely', 'check')) GROUP BY person_id, lower(trim(split_part(doc, ' (', 1))))
+SELECT person_id, (row_number() OVER (PARTITION BY person_id ORDER BY schemes DESC, first))::INT AS place, document, schemes FROM docs""")
 def documents_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eligibility.checklist(eligibility.cards(people(spark, sf_dir), packs.SCHEMES))
 
 
-@query()
+CODES_SQL = """'age=' || age || '; work=' || work || '; place=' || place || CASE WHEN brief THEN '' ELSE '; account=' || CASE WHEN no_account THEN 'no' ELSE 'yes' END || '; more=' || CASE WHEN tax THEN 'tax' ELSE 'none' END END"""
+BY_STATUS_SQL = ", by_status AS (SELECT person_id, " + ", ".join(f"string_agg(scheme, ', ' ORDER BY ord) FILTER (WHERE status = '{g}') AS {g}" for g in eligibility.GROUPS) + ", count(*) FILTER (WHERE status <> 'not_eligible') AS useful FROM cards GROUP BY person_id)"
+
+
+@query(PEOPLE_SQL + BY_STATUS_SQL + f"""SELECT person_id, concat_ws(chr(10), 'SLIP | synthetic-schemes pack 1 | 2026-01-01', {CODES_SQL}, 'ELIGIBLE: ' || eligible, 'LIKELY (needs proof): ' || likely,
+  'CHECK AT OFFICE: ' || "check", 'AFTER OPENING A BANK ACCOUNT: ' || unlock, 'No name stored. Guidance only; the office decides.') AS slip FROM by_status JOIN p USING (person_id)""")
 def slips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eligibility.slip(people(spark, sf_dir), packs.SCHEMES, "2026-01-01")
 
 
+@query(PEOPLE_SQL + BY_STATUS_SQL + """SELECT person_id, CASE WHEN brief THEN 3 ELSE 5 END::INT AS asked, useful::INT AS useful, eligible, not_eligible FROM by_status JOIN p USING (person_id)""")
+def interview_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = eligibility.results(people(spark, sf_dir), packs.SCHEMES, "2026-01-01")
+    joined = {g: F.when(F.size(f"groups.{g}") > 0, F.array_join(f"groups.{g}", ", ")).alias(g) for g in ("eligible", "not_eligible")}
+    return found.select("person_id", "asked", "useful", *joined.values())
+
+
+@query(PEOPLE_SQL + """SELECT person_id, x.id AS id, x.answer AS answer, x.code AS code FROM (SELECT person_id, unnest([{'id': 'age', 'answer': age || ' years', 'code': age::VARCHAR}, {'id': 'work', 'answer': work, 'code': work},
+  {'id': 'place', 'answer': place, 'code': place}] || CASE WHEN brief THEN [] ELSE [{'id': 'account', 'answer': CASE WHEN no_account THEN 'no' ELSE 'yes' END, 'code': CASE WHEN no_account THEN 'no' ELSE 'yes' END},
+  {'id': 'more', 'answer': CASE WHEN tax THEN 'tax' ELSE 'none' END, 'code': CASE WHEN tax THEN 'tax' ELSE 'none' END}] END) AS x FROM p)""")
+def interview_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = people(spark, sf_dir).select("person_id", F.explode(eligibility.profile(packs.SCHEMES)).alias("x"))
+    return found.select("person_id", "x.id", F.col("x.answer.en").alias("answer"), "x.code")
+
+
+@query("SELECT * FROM (VALUES (0, 'farm_support', 'farm support'), (1, 'old_age_pension', 'old age pension'), (2, 'student_grant', 'student grant'), (3, 'village_homes', 'village homes')) t(ord, scheme, name)")
+def scheme_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eligibility.catalog(spark, packs.SCHEMES).select("ord", "scheme", F.col("name.en").alias("name"))
+
+
+@query(PEOPLE_SQL + "SELECT person_id, scheme, replace(scheme, '_', ' ') AS what, 'made up' AS source FROM cards WHERE status = 'eligible'")
+def described_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = eligibility.cards(people(spark, sf_dir), packs.SCHEMES).where("status = 'eligible'")
+    return eligibility.described(found, packs.SCHEMES).select("person_id", "scheme", F.col("what.en").alias("what"), F.col("source_rows")[0]["title"].alias("source"))
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 40 >= 18 AND c_custkey % 40 + 10 <= 40 THEN 'T' WHEN c_custkey % 40 + 10 < 18 OR c_custkey % 40 > 40 THEN 'F' ELSE 'U' END AS truth FROM customer")
 def age_interval_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An age that is only known as an interval of ten years, against 18 to 40."""

@@ -191,6 +191,7 @@ def _scheme(key: str, rule: dict, documents: list[str], **more) -> dict:
 #: A synthetic pack: made-up schemes and rules.
 SCHEMES: dict = {
     "pack": "synthetic-schemes", "version": "1", "date": "2026-01-01", "max_questions": 8,
+    "age_phrase": {"exact": _two("aged {n}", "{n} वर्ष के")},
     "facts": {"farmer": 1, "bank_account": 1, "urban": 1, "student": 1, "widow": 1, "taxpayer": 1},
     "sources": {"s1": {"title": "made up"}},
     "questions": [

@@ -92,11 +92,52 @@ def test_cards_and_slip(spark):
     people = eligibility.facts_of(spark.createDataFrame(rows, ANSWERS), packs.SCHEMES).withColumn("held", F.lit(["student_grant"]))
     got = {r.scheme: r for r in eligibility.cards(people, packs.SCHEMES, "held").collect()}
     assert got["farm_support"].status == "unlock" and got["farm_support"].unlock == "bank_account" and len(got["farm_support"].reasons) == 3
-    assert got["old_age_pension"].status == "likely" and got["old_age_pension"].benefit_now == "double" and got["old_age_pension"].counter == "Ask about old_age_pension, aged 82"
+    assert got["old_age_pension"].status == "eligible" and got["old_age_pension"].benefit_now == "double" and got["old_age_pension"].counter == "Ask about old_age_pension, aged 82"
     assert got["student_grant"].status == "have" and [r.truth for r in got["student_grant"].reasons] == ["F", "F"]
     assert got["village_homes"].status == "check" and got["village_homes"].counter == "Ask whether homes are open"
     text = eligibility.slip(people, packs.SCHEMES, "2026-01-01", "held").first()["slip"]
-    assert text.split("\n")[1:] == ["LIKELY: old_age_pension", "UNLOCK: farm_support", "CHECK: village_homes", "HAVE: student_grant", "Guidance only; the office decides."]
+    assert text.split("\n")[1:] == [
+        "age=82; work=farm; account=no; more=none", "ELIGIBLE: old_age_pension", "CHECK AT OFFICE: village_homes", "AFTER OPENING A BANK ACCOUNT: farm_support", "ALREADY GETS: student_grant",
+        "No name stored. Guidance only; the office decides.",
+    ]
+
+
+def test_profile_and_results(spark):
+    rows = [
+        (1, 0, "more", None, None, ["tax", "widow"]), (1, 1, "age", None, "senior", None), (1, 2, "place", None, "moon", None),
+        (2, 0, "age", 400, None, None), (2, 1, "work", None, "study", None), (2, 2, "work", None, "farm", None), (3, 0, "more", None, None, []),
+    ]
+    people = eligibility.facts_of(spark.createDataFrame(rows, ANSWERS), packs.SCHEMES)
+    got = {r.person_id: r for r in eligibility.results(people, packs.SCHEMES, "2026-01-01").collect()}
+    assert [(p.id, p.answer.en, p.code) for p in got[1].profile] == [("age", "senior", "senior"), ("more", "widow; tax", "widow+tax")]
+    assert [(p.id, p.code) for p in got[2].profile] == [("work", "farm")] and [(p.id, p.answer.en, p.code) for p in got[3].profile] == [("more", "none", "none")]
+    assert got[1].asked == 3 and len(got[1].problems) == 1
+    assert [c.scheme for c in got[1].cards] == [s["id"] for s in packs.SCHEMES["schemes"]]
+    assert sum(len(getattr(got[1].groups, g)) for g in eligibility.GROUPS) == 4
+    assert got[1].useful == 4 - len(got[1].groups.not_eligible)
+
+
+def test_age_phrase_and_hindi(spark):
+    people = eligibility.facts_of(spark.createDataFrame([(1, 0, "age", 70, None, None), (2, 0, "age", None, "adult", None), (3, 0, "work", None, "farm", None)], ANSWERS), packs.SCHEMES)
+    got = {r.person_id: r for r in eligibility.cards(people, packs.SCHEMES).where("scheme = 'student_grant'").collect()}
+    assert got[1].counter == "Ask about student_grant, aged 70" and got[1].counter_hi == "Ask about student_grant, 70 वर्ष के"
+    assert got[2].counter == "Ask about student_grant, an adult" and got[3].counter == "Ask about student_grant,"
+    n = spark.range(1).select(eligibility.format_n("{{{n}}} x", F.lit(7)).alias("x")).first().x
+    assert n == "{7} x"
+    with pytest.raises(eligibility.PackError):
+        eligibility.format_n("{age}", F.lit(1))
+
+
+def test_described_and_checklist(spark):
+    people = eligibility.facts_of(spark.createDataFrame([(1, 0, "age", 20, None, None), (1, 1, "work", None, "study", None), (1, 2, "place", None, "unsure", None)], ANSWERS), packs.SCHEMES)
+    pack = packs.SCHEMES | {"schemes": [s | {"check_how": {"en": "ask", "hi": "ask"}, "notes": [{"en": "note", "hi": "note"}]} for s in packs.SCHEMES["schemes"]]}
+    got = {r.scheme: r for r in eligibility.described(eligibility.cards(people, pack), pack).collect()}
+    assert got["student_grant"].status == "eligible" and got["student_grant"].check_how is None and got["student_grant"].notes[0].en == "note"
+    assert got["student_grant"].source_rows == [{"id": "s1", "title": "made up"}]
+    assert all((r.check_how is not None) == (r.status == "check") for r in got.values())
+    docs = eligibility.checklist(eligibility.cards(people, packs.SCHEMES)).orderBy("place").collect()
+    assert [d.place for d in docs] == list(range(1, len(docs) + 1)) and docs[0].document == "ID card"
+    assert [d.schemes for d in docs] == sorted((d.schemes for d in docs), reverse=True)
 
 
 def test_answers_from_link(spark):
