@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .conversation_trie import OP13_SQL, op13
 from .decontamination import OP8_SQL, op8
 from .fingerprints import op4
 from .jaccard_join import OP7_SQL, op7
 from .language import op10
 from .mixing import OP9_SQL, op9
+from .pieces import op12
 from .quality import op3
 from .secrets import op6
 from .sharding import op5
@@ -28,10 +30,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8,
     "op9_mixing": op9,
     "op10_language_id": op10,
+    "op12_sentencepiece": op12,
+    "op13_conversation_trie": op13,
 }
 ORACLES: dict[str, str] = {
     "op2_warc": OP2_SQL,
     "op7_jaccard_join": OP7_SQL,
     "op8_decontamination": OP8_SQL,
     "op9_mixing": OP9_SQL,
+    "op13_conversation_trie": OP13_SQL,
 }
