@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import OP11_SQL, op11
 from .conversation_trie import OP13_SQL, op13
 from .decontamination import OP8_SQL, op8
 from .fingerprints import op4
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8,
     "op9_mixing": op9,
     "op10_language_id": op10,
+    "op11_collocations": op11,
     "op12_sentencepiece": op12,
     "op13_conversation_trie": op13,
 }
@@ -38,5 +40,6 @@ ORACLES: dict[str, str] = {
     "op7_jaccard_join": OP7_SQL,
     "op8_decontamination": OP8_SQL,
     "op9_mixing": OP9_SQL,
+    "op11_collocations": OP11_SQL,
     "op13_conversation_trie": OP13_SQL,
 }
