@@ -11,12 +11,14 @@ and left out of the profile.
 
 from __future__ import annotations
 
+import json
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.logic import AGE_LEAST, AGE_MOST, CODE, NAMES, Scope, age_probes, any_of, name_of, nodes, trail, truth
+from ..plans.logic import AGE_LEAST, AGE_MOST, CODE, NAMES, Scope, Vector, age_probes, any_of, name_of, nodes, trail, truth
 
 # Statuses, the order of their groups, and the slip's words.
 STATUS = {"T": "eligible", "L": "likely", "U": "check", "F": "not_eligible"}
@@ -140,32 +142,91 @@ def outcomes(pack: dict, scope: Scope) -> Column:
     return F.concat(*(F.when(unlock(s, pack, scope).isNotNull(), F.lit("u")).otherwise(name_of(truth(s["rule"], scope))) for s in pack["schemes"]))
 
 
-def differ(signatures: list[Column]) -> Column:
-    return any_of([signatures[0] != s for s in signatures[1:]])
+#: Schemes whose outcomes fit into one number of base 5.
+IN_A_NUMBER = 27
 
 
-def shown_options(question: dict, pack: dict, scope: Scope) -> Column:
-    """Ids of the answers worth showing; empty if the question can't change any outcome."""
-    if question["kind"] == "age":
-        ids = [b["id"] for b in question["bands"]]
-        return F.when(differ([outcomes(pack, scope.aged(a)) for a in age_probes([s["rule"] for s in pack["schemes"]])]), F.lit(ids)).otherwise(F.array().cast("array<string>"))
-    if question["kind"] == "single":
-        ids = [o["id"] for o in question["options"]]
-        sets = [{k: CODE[v] for k, v in o["sets"].items()} for o in question["options"]]
-        return F.when(differ([outcomes(pack, scope.given(s)) for s in sets]), F.lit(ids)).otherwise(F.array().cast("array<string>"))
-    tried = [F.when(outcomes(pack, scope.given({o["fact"]: CODE["T"]})) != outcomes(pack, scope.given({o["fact"]: CODE["F"]})), F.lit(o["id"])) for o in question["options"]]
-    return F.filter(F.array(*tried), lambda x: x.isNotNull())
+def consulted(pack: dict) -> list[str]:
+    """The facts that rules or unlocks ask for, in pack order; no other fact can change an outcome."""
+    asked = {n["fact"] for s in pack["schemes"] for n in nodes(s["rule"]) if "fact" in n} | set(pack.get("actionable", {}))
+    return [f for f in pack["facts"] if f in asked]
+
+
+def vectors(people: DataFrame, pack: dict) -> DataFrame:
+    """people with what decides their interview: the values of consulted facts (`_values`), and which questions of the pack are answered (`_told`)."""
+    scope = scope_of()
+    values = F.array(*(scope.fact(f).cast("tinyint") for f in consulted(pack))).cast("array<tinyint>")
+    return people.withColumns({"_values": values, "_told": F.array(*(F.array_contains("answered", q["id"]) for q in pack["questions"]))})
+
+
+def changes(pack: dict) -> list[dict]:
+    """What each question's answers would change: its number, its option's number (-1: all are compared), an age or values for consulted facts."""
+    facts, made = consulted(pack), []
+
+    def change(q: int, o: int, sets: dict[str, str] | None = None, age: int | None = None) -> None:
+        made.append({"q": q, "o": o, "age": age, "sets": [CODE[sets[f]] if sets and f in sets else None for f in facts]})
+
+    for k, q in enumerate(pack["questions"]):
+        if q["kind"] == "age":
+            for age in age_probes([s["rule"] for s in pack["schemes"]]):
+                change(k, -1, age=age)
+        else:
+            for n, o in enumerate(q["options"]):
+                if q["kind"] == "single":
+                    change(k, -1, o["sets"])
+                else:
+                    change(k, n, {o["fact"]: "T"})
+                    change(k, n, {o["fact"]: "F"})
+    return made
+
+
+def shown_options(people: DataFrame, pack: dict) -> DataFrame:
+    """The questions that matter, for each distinct vector of vectors(): _values, age_low, age_high, _told, q, o.
+
+    A question that isn't answered yet gives a row if its answers lead to different outcomes, with o = -1;
+    of several choices each that matters gives a row. The changes are a literal array, so rules are compiled
+    once whatever the number of questions, and evaluated once for each distinct vector and change. All
+    groupings lie within the partitions of the distinct vectors.
+    """
+    key = ["_values", "age_low", "age_high", "_told"]
+    tried = F.from_json(F.lit(json.dumps(changes(pack))), "array<struct<q:int,o:int,age:int,sets:array<tinyint>>>")
+    rows = people.select(key).distinct().select(*key, F.explode(tried).alias("c")).where(~F.get("_told", F.col("c.q")))
+    changed = F.zip_with("c.sets", "_values", lambda new, old: F.coalesce(new, old))
+    rows = rows.select(*key, "c.q", "c.o", changed.alias("_changed"), F.coalesce("c.age", "age_low").alias("_low"), F.coalesce("c.age", "age_high").alias("_high"))
+    scope = Vector(consulted(pack), F.col("_changed"), F.col("_low"), F.col("_high"))
+    digits = [F.when(unlock(s, pack, scope).isNotNull(), 4).otherwise(truth(s["rule"], scope)).cast("long") for s in pack["schemes"]]
+    numbers = [reduce(lambda a, b: a * 5 + b, digits[k : k + IN_A_NUMBER]) for k in range(0, len(digits), IN_A_NUMBER)]
+    rows = rows.select(*key, "q", "o", *(n.alias(f"_n{k}") for k, n in enumerate(numbers)))
+    differ = any_of([F.min(f"_n{k}") != F.max(f"_n{k}") for k in range(len(numbers))])
+    return rows.groupBy(*key, "q", "o").agg(differ.alias("_differ")).where("_differ").drop("_differ")
 
 
 def next_question(people: DataFrame, pack: dict) -> DataFrame:
-    """people (of facts_of) with next_question and its options; both null when the interview is over."""
-    scope, most = scope_of(), int(pack.get("max_questions", 8))
-    found = F.lit(None).cast("struct<id:string,options:array<string>>")
-    for q in reversed(pack["questions"]):
-        options = shown_options(q, pack, scope)
-        found = F.when(~F.array_contains("answered", q["id"]) & (F.size(options) > 0), F.struct(F.lit(q["id"]).alias("id"), options.alias("options"))).otherwise(found)
-    asked = people.withColumn("next", F.when(F.size("answered") < most, found))
-    return asked.withColumns({"next_question": F.col("next.id"), "next_options": F.col("next.options")}).drop("next")
+    """people (of facts_of) with next_question, next_options (ids) and question (all that is shown); null when the interview is over.
+
+    What is asked depends on few values, so it is found for distinct ones and joined back by them.
+    """
+    key, most = ["_values", "age_low", "age_high", "_told"], int(pack.get("max_questions", 8))
+    known = vectors(people, pack)
+    shown = shown_options(known.where(F.size("answered") < most), pack)
+    first = shown.groupBy(*key).agg(F.min("q").alias("_q"), F.array_sort(F.collect_set(F.struct("q", "o"))).alias("_shown"))
+    first = first.withColumn("_shown", F.transform(F.filter("_shown", lambda x: x["q"] == F.col("_q")), lambda x: x["o"]))
+
+    told = [
+        {k: q.get(k) for k in ("id", "kind", "short", "text", "help", "none")} | {"options": [{"id": o["id"], "label": o["label"]} for o in q["bands" if q["kind"] == "age" else "options"]]}
+        for q in pack["questions"]
+    ]
+    table = F.from_json(F.lit(json.dumps(told)), f"array<struct<id:string,kind:string,short:{WORDS},text:{WORDS},help:{WORDS},none:{WORDS},options:array<struct<id:string,label:{WORDS}>>>>")
+    first = first.select(*key, F.get(table, F.col("_q")).alias("_question"), "_shown")
+    options = F.filter("_question.options", lambda o, k: F.array_contains("_shown", -1) | F.array_contains("_shown", k))
+    first = first.select(*key, "_question", options.alias("_options"))
+    open_ = F.size("answered") < most
+    question = F.struct(
+        *(F.col(f"_question.{k}").alias(k) for k in ("id", "kind", "short", "text", "help")), (F.size("answered") + 1).alias("number"), F.lit(most).alias("max_questions"),
+        F.col("_options").alias("options"), F.when(F.col("_question.kind") == "multi", F.col("_question.none")).alias("none"),
+    )
+    asked = known.join(first, key, "left").withColumn("question", F.when(open_ & F.col("_question").isNotNull(), question))
+    return asked.select(*people.columns, F.col("question.id").alias("next_question"), F.transform("question.options", lambda o: o["id"]).alias("next_options"), "question")
 
 
 def _words(text: dict) -> Column:

@@ -38,6 +38,22 @@ class Scope:
         return Scope(self.facts, F.lit(age), F.lit(age), self.changes)
 
 
+class Vector(Scope):
+    """A scope whose facts are an array of values, none of them null, in the order of `names`."""
+
+    def __init__(self, names: list[str], facts: Column, age_low: Column, age_high: Column, changes: dict[str, int] | None = None):
+        super().__init__(facts, age_low, age_high, changes)
+        self.places = {name: k for k, name in enumerate(names)}
+
+    def fact(self, name: str) -> Column:
+        if name in self.changes:
+            return F.lit(self.changes[name])
+        return F.get(self.facts, F.lit(self.places[name])).cast("int")
+
+    def given(self, changes: dict[str, int]) -> Vector:
+        return Vector(list(self.places), self.facts, self.age_low, self.age_high, self.changes | changes)
+
+
 def age_truth(bounds: list, low: Column, high: Column) -> Column:
     """T if the whole interval is inside, F if none of it is, else U."""
     least, most = bounds[0], AGE_MOST if bounds[1] is None else bounds[1]
