@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -124,19 +125,28 @@ def money_at_risk(text: str) -> float:
 
     Each amount takes the nearest cue word of its sentence; a demand wins a tie.
     """
-    asked, bare = [0.0], [0.0]
+    asked, bare, known = [0.0], [0.0], {}
+    stops = [m.start() for m in STOP.finditer(text)]
     for m in AMOUNT.finditer(text):
-        start = max((b.end() for b in STOP.finditer(text, 0, m.start())), default=0)
-        after = STOP.search(text, m.end())
-        window = (start, after.start() if after else len(text))
-        cues = [(max(m.start() - c.end(), c.start() - m.end(), 0), kind) for kind, cue in enumerate((PAY, BAIT)) for c in cue.finditer(text, *window)]
-        if not cues:
+        before, after = bisect_left(stops, m.start()), bisect_left(stops, m.end())
+        window = (stops[before - 1] + 1 if before else 0, stops[after] if after < len(stops) else len(text))
+        if window not in known:  # cue words are looked for once a sentence
+            known[window] = [[c.span() for c in cue.finditer(text, *window)] for cue in (PAY, BAIT)]
+        nearest = [_nearest(m.span(), cues) for cues in known[window]]
+        if nearest == [None, None]:
             bare.append(_value(m))
-        elif min(cues)[1] == 0:
+        elif nearest[1] is None or (nearest[0] is not None and nearest[0] <= nearest[1]):
             asked.append(_value(m))
     return max(asked) if len(asked) > 1 else max(bare)
 
 
+def _nearest(span: tuple[int, int], cues: list[tuple[int, int]]) -> int | None:
+    """Signs to the nearest of spans that ascend and don't overlap: the last that begins before the span's end, or the next one."""
+    k = bisect_left(cues, (span[1],))
+    around = cues[max(0, k - 1) : k + 1]
+    return min((max(span[0] - b, a - span[1], 0) for a, b in around), default=None)
+
+
 def handles(text: str) -> list[str]:
     """Payment handles, not e-mail addresses, in lower case."""
     return list(dict.fromkeys(m[1].lower() for m in HANDLE.finditer(text)))
