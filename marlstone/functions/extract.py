@@ -126,8 +126,9 @@ def money_at_risk(text: str) -> float:
     Each amount takes the nearest cue word of its sentence; a demand wins a tie.
     """
     asked, bare, known = [0.0], [0.0], {}
-    stops = [m.start() for m in STOP.finditer(text)]
-    for m in AMOUNT.finditer(text):
+    found = list(AMOUNT.finditer(text))
+    stops = [m.start() for m in STOP.finditer(text)] if found else []
+    for m in found:
         before, after = bisect_left(stops, m.start()), bisect_left(stops, m.end())
         window = (stops[before - 1] + 1 if before else 0, stops[after] if after < len(stops) else len(text))
         if window not in known:  # cue words are looked for once a sentence
