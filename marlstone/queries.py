@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import extract, text
-from .operators import classifier, eligibility, payments, scoring, similarity, spans
+from .operators import classifier, eligibility, payments, scoring, similarity, span_join, spans
 from .message_cases import CONTEXT_CASES, FOLD_CASES, PAYLOAD_CASES, SIGNAL_CASES
 from .operators import signals as signal_rules
 from .plans import check
@@ -298,6 +298,42 @@ def near_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.udf(close, "boolean")(F.lower("text")).alias("is_near"))
 
 
+WORD_SPANS_SQL = """WITH tokens AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS k FROM (SELECT doc_id, regexp_extract_all(lower(text), '{pattern}') AS t FROM documents)),
+placed AS (SELECT doc_id, token, (sum(length(token)) OVER (PARTITION BY doc_id ORDER BY k))::INT AS "end" FROM tokens), spans AS (SELECT doc_id, token, ("end" - length(token))::INT AS start, "end" FROM placed)
+"""
+WORDS_SQL = WORD_SPANS_SQL.format(pattern="[a-z0-9]+|[^a-z0-9]+")
+
+
+def word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of two words in all documents, from one pass of the phrase automaton."""
+    found = span_join.phrase_spans_col({"that": ["that"], "with": ["with"]})(F.lower("text"))
+    return span_join.exploded(table(spark, sf_dir, "documents"), "doc_id", found)
+
+
+@query(WORDS_SQL + """SELECT a.doc_id, a.start, b.start AS right_start FROM spans a JOIN spans b ON a.doc_id = b.doc_id
+WHERE a.token = 'that' AND b.token = 'with' AND greatest(b.start - a."end", a.start - b."end", 0) <= 60""")
+def span_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spans at most 60 signs apart, as a join by bins of offsets."""
+    found = word_spans(spark, sf_dir)
+    return span_join.near_join(found.where("name = 'that'"), found.where("name = 'with'"), "doc_id", 60).select("doc_id", "start", "right_start")
+
+
+@query(WORDS_SQL + """, lines AS (SELECT doc_id, line, start FROM (SELECT doc_id, line, k, (sum(length(line)) OVER (PARTITION BY doc_id ORDER BY k) - length(line))::INT AS start
+  FROM (SELECT doc_id, unnest(t) AS line, generate_subscripts(t, 1) AS k FROM (SELECT doc_id, regexp_extract_all(lower(text), '[^\n]+|\n+') AS t FROM documents))) WHERE line[1] <> chr(10))
+SELECT s.doc_id, s.start, l.start AS right_start FROM spans s JOIN lines l ON s.doc_id = l.doc_id AND s.start >= l.start AND s."end" <= l.start + length(l.line) WHERE s.token = 'that'""")
+def span_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans and the lines that they lie in."""
+    lines = span_join.exploded(table(spark, sf_dir, "documents"), "doc_id", span_join.pattern_spans_col({"line": r"[^\n]+"})(F.lower("text")))
+    return span_join.inside_join(word_spans(spark, sf_dir).where("name = 'that'"), lines, "doc_id").select("doc_id", "start", "right_start")
+
+
+@query(WORDS_SQL + """SELECT a.doc_id, a.start, min(CASE WHEN b.start IS NOT NULL THEN greatest(b.start - a."end", a.start - b."end", 0) END)::INT AS distance FROM spans a LEFT JOIN spans b ON a.doc_id = b.doc_id AND b.token = 'with' WHERE a.token = 'that' GROUP BY ALL""")
+def span_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the nearest span of another word is, for each span of one."""
+    found = word_spans(spark, sf_dir)
+    return span_join.nearest(found.where("name = 'that'"), found.where("name = 'with'"), "doc_id").select("doc_id", "start", "distance")
+
+
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[ \\t]+', ' ', 'g'), '\\s*[\\[({]\\s*(?:\\.|dot)\\s*[\\])}]\\s*', '.', 'g'), E' \\t\\n\\r') AS folded FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*')")
 def fold_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where(F.col("text").rlike("^[\\x00-\\x7f]*$"))
