@@ -33,15 +33,18 @@ PAY_TEXT = "Pay {amount} to {name} ({payee}). {note}"
 
 
 def rupees(amount: float) -> str:
-    """₹ with Indian grouping, two digits of paise if there are any."""
+    """₹ and the whole rupees, from a lakh on in Indian groups, else in threes; paise if the amount isn't whole.
+
+    Paise are the rounded amount's last two digits as Python's % gives them, so those of -0.25 are 75.
+    """
     if not math.isfinite(amount):
         raise ValueError("amount must be finite")
-    text = f"{abs(amount):.2f}"
-    whole, paise = text.split(".")
-    head, tail = whole[:-3], whole[-3:]
-    parts = [head[max(0, k - 2) : k] for k in range(len(head), 0, -2)][::-1]
-    sign = "-" if amount < 0 and (int(whole) or int(paise)) else ""
-    return f"{sign}₹{','.join([*parts, tail])}" + (f".{paise}" if int(paise) else "")
+    whole = int(amount)
+    text = f"{whole:,}"
+    if whole >= 100_000:
+        head, tail = str(whole)[:-3], str(whole)[-3:]
+        text = ",".join([*[head[max(0, k - 2) : k] for k in range(len(head), 0, -2)][::-1], tail])
+    return f"₹{text}" + (f".{round(amount * 100) % 100:02d}" if amount != whole else "")
 
 
 def parse(payload: str) -> dict | None:

@@ -70,14 +70,21 @@ def answers_from_link(encoded: Column) -> Column:
 
 
 def read_answers(people: DataFrame, person: str, text: str) -> DataFrame:
-    """Answer rows (person_id, ord, qid, int_val, str_val, arr_val) of a JSON object of question id to answer."""
+    """Answer rows (person_id, ord, qid, int_val, str_val, arr_val) of a JSON object of question id to answer.
+
+    Answers keep their types: 7 is a number, "7" a text, and only a list of texts is a list. Whole numbers that
+    no INT holds, and all else (null, true, 1.5, objects), become texts of their JSON, which no question takes, so
+    that ``facts_of`` tells them as problems; no answer fails the job. A text that is no JSON object gives no rows.
+    """
     keys = F.json_object_keys(text)
-    rows = people.select(F.col(person).alias("person_id"), F.posexplode(keys).alias("ord", "qid"), F.col(text).alias("json"))
-    value = F.try_element_at(F.from_json("json", "map<string,string>"), F.col("qid"))
-    return rows.select(
-        "person_id", "ord", "qid", F.when(value.rlike("^-?[0-9]+$"), value.cast("int")).alias("int_val"),
-        F.when(~value.rlike(r"^(-?[0-9]+$|\[)"), value).alias("str_val"), F.when(value.startswith("["), F.from_json(value, "array<string>")).alias("arr_val"),
-    )
+    rows = people.select(F.col(person).alias("person_id"), F.posexplode(keys).alias("ord", "qid"), F.try_parse_json(text).alias("_json"))
+    typed = F.try_variant_get("_json", "$", "map<string,variant>")
+    rows = rows.withColumn("_value", F.try_element_at(typed, F.col("qid")))
+    kind, number = F.schema_of_variant("_value"), F.try_variant_get("_value", "$", "bigint")
+    is_int = (kind == "BIGINT") & number.between(-(2**31), 2**31 - 1)
+    items = F.when(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.try_variant_get("_value", "$", "array<string>"))
+    plain = F.when(kind == "STRING", F.try_variant_get("_value", "$", "string")).when(~is_int & items.isNull(), F.to_json("_value"))
+    return rows.select("person_id", "ord", "qid", F.when(is_int, number.cast("int")).alias("int_val"), plain.alias("str_val"), items.alias("arr_val"))
 
 
 def check_signal_pack(pack: dict) -> list[str]:

@@ -109,7 +109,7 @@ def test_cards(spark):
     patterns = spark.createDataFrame([(0, "a", "prize", "you won rs 5000, pay rs 99 fee to claim"), (1, "b", "kyc", "update your kyc")], "ord int, id string, category string, text string")
     got = {r.message_id: r for r in check(messages, packs.SIGNALS, patterns, packs.MODEL).collect()}
     assert got[1].verdict == "scam" and got[1].hard_signal and got[1].confidence >= 0.97 and got[1].category == "otp_pin" and got[1].sensitive
-    assert got[2].verdict == "no_signs" and got[2].reason_ids == ["dlt_sender"] and got[2].category is None and got[2].helplines is None
+    assert got[2].verdict == "no_signs" and got[2].reason_ids == ["dlt_sender"] and got[2].category is None and got[2].helplines == []
     assert got[4].verdict == "unreadable" and got[4].headline == "bn can't be read yet"
     assert got[5].pattern_id == "a" and "pattern_match" in [s["id"] for s in got[5].fired] and got[5].rupees_at_risk == 99 and got[5].input_type == "text"
     assert got[3].text is None and got[3].verdict in (None, "no_signs")
@@ -182,3 +182,19 @@ def test_large_pattern_tables_are_joined(spark, monkeypatch):
     small = near(), top()
     monkeypatch.setattr(similarity, "MOST_WEIGHTS", 3)
     assert (near(), top()) == small and len(small[0]) == 6
+
+
+def test_unreadable_and_calm_cards(spark):
+    rows = [(1, "আপনার অ্যাকাউন্ট বন্ধ হয়ে যাবে আজ", None, "text"), (2, "see you at dinner", None, "text"), (3, "share your otp now and pay rs 500", None, "text")]
+    cards = {r.message_id: r for r in check(spark.createDataFrame(rows, "message_id long, text string, sender string, input_type string"), packs.SIGNALS).collect()}
+    own = packs.SIGNALS
+    assert cards[1].verdict == "unreadable" and cards[1].actions == own["unreadable"]["actions"]["en"] and cards[1].actions_hi == own["unreadable"]["actions"]["hi"]
+    assert cards[1].headline == "bn can't be read yet" and cards[1].rupees_at_risk == 0.0 and cards[1].helplines == []
+    assert cards[2].verdict == "no_signs" and cards[2].actions == own["no_signs"]["actions"]["en"] and cards[2].helplines == [] and cards[2].label.en == "No signs"
+    assert cards[3].verdict == "scam" and cards[3].helplines == ["0000"] and cards[3].rupees_at_risk == 500.0 and cards[3].actions_hi == own["categories"]["otp_pin"]["actions"]["hi"]
+
+
+def test_payloads_with_repeated_ids(spark):
+    rows = [(1, "upi://pay?pa=a@bank&am=10"), (1, "upi://pay?pa=b@bank"), (None, "hello")]
+    found = check_payloads(spark.createDataFrame(rows, "message_id long, payload string"), packs.SIGNALS)
+    assert found.count() == 3 and {r.message_id for r in found.collect()} == {1, None}

@@ -148,3 +148,23 @@ def test_answers_from_link(spark):
     df = spark.createDataFrame([(1, link)], "id long, link string").withColumn("json", packs.answers_from_link(F.col("link")))
     got = packs.read_answers(df, "id", "json").orderBy("ord").collect()
     assert [(r.qid, r.int_val, r.str_val, r.arr_val) for r in got] == [("age", 30, None, None), ("work", None, "farm", None), ("more", None, None, ["tax"])]
+
+
+def test_answers_keep_their_types(spark):
+    """No answer fails the job: bad ones are told as problems."""
+    texts = {
+        1: '{"work": "farm", "age": 7}', 2: '{"age": "7"}', 3: '{"age": 99999999999, "place": "town"}', 4: '{"age": 1.5}', 5: '{"age": true}', 6: '{"age": null}',
+        7: '{"more": ["tax"], "zebra": 1, "account": ["yes"]}', 8: '{"more": [1]}', 9: "no json", 10: "[1]", 11: None, 12: '{"more": []}', 13: '{"work": "[x]"}',
+    }
+    rows = packs.read_answers(spark.createDataFrame(list(texts.items()), "id long, json string"), "id", "json")
+    got = {(r.person_id, r.qid): (r.ord, r.int_val, r.str_val, r.arr_val) for r in rows.collect()}
+    assert got[1, "work"] == (0, None, "farm", None) and got[1, "age"] == (1, 7, None, None)
+    assert got[2, "age"] == (0, None, "7", None) and got[3, "age"][1:] == (None, "99999999999", None)
+    assert [got[k, "age"][1:] for k in (4, 5)] == [(None, "1.5", None), (None, "true", None)]
+    assert got[7, "more"] == (0, None, None, ["tax"]) and got[7, "zebra"] == (1, 1, None, None) and got[7, "account"] == (2, None, None, ["yes"])
+    assert got[8, "more"][3] is None and got[12, "more"] == (0, None, None, []) and got[13, "work"] == (0, None, "[x]", None)
+    assert {p for p, _ in got} == set(texts) - {9, 10, 11}
+    known = {r.person_id: r for r in eligibility.facts_of(rows, packs.SCHEMES).collect()}
+    assert not known[1].problems and not known[12].problems
+    assert all(len(known[k].problems) == 1 for k in (2, 3, 4, 5, 6, 8, 13)) and len(known[7].problems) == 2
+    assert (known[3].age_low, known[3].age_high) == (0, 120)

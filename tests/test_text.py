@@ -81,7 +81,7 @@ def test_murmur():
     assert classifier.grams("abcd", 3, 5) == [" ab", "abc", "bcd", "cd ", " abc", "abcd", "bcd ", " abcd", "abcd "]
 
 
-@pytest.mark.parametrize(("given", "want"), [(99999, "₹99,999"), (100000, "₹1,00,000"), (12345678, "₹1,23,45,678"), (10.5, "₹10.50"), (0, "₹0"), (999, "₹999")])
+@pytest.mark.parametrize(("given", "want"), [(99999, "₹99,999"), (100000, "₹1,00,000"), (12345678, "₹1,23,45,678"), (10.5, "₹10.50"), (0, "₹0"), (999, "₹999"), (-5, "₹-5"), (-1234567.5, "₹-1,234,567.50"), (1.999, "₹1.00"), (-0.25, "₹0.75"), (100000.005, "₹1,00,000.00")])
 def test_rupees(given, want):
     assert payments.rupees(given) == want
 
