@@ -6,7 +6,7 @@ from marlstone.operators import scoring, similarity
 from marlstone.operators.signals import RULES, Engine
 from marlstone.plans.check import check, check_payloads
 from marlstone.sources import packs
-from marlstone.streaming.messages import check_stream, verdict_counts
+from marlstone.streaming.messages import check_stream, refreshed, verdict_counts
 from pyspark.sql import functions as F
 
 ENGINE = Engine(packs.SIGNALS)
@@ -184,6 +184,57 @@ def test_large_pattern_tables_are_joined(spark, monkeypatch):
     assert (near(), top()) == small and len(small[0]) == 6
 
 
+def test_both_similarity_paths_give_the_same_rows(spark, monkeypatch):
+    """Repeated and null keys, string keys, repeated pattern keys, patterns without key, text or words, equal texts in other case."""
+    patterns = spark.createDataFrame([("b", "alpha beta"), ("a", "alpha beta"), ("c", "gamma"), ("c", "delta"), (None, "alpha"), ("A", None), ("d", " ")], "p string, t string")
+    texts = spark.createDataFrame([(1, "ALPHA beta"), (1, "alpha beta"), (1, "gamma delta"), (None, "delta"), (None, None), (None, "delta"), (2, ""), (2, "zzz")], "k int, t string")
+    rows = lambda f: sorted(((r.k, r.p, round(r.similarity, 9)) for r in f.collect()), key=str)
+    best, top = (lambda: rows(similarity.best_match(texts, "k", "t", patterns, "p", "t"))), (lambda: rows(similarity.top_matches(texts, "k", "t", patterns, "p", "t", 2)))
+    small = best(), top()
+    assert [r for r in small[0] if r[0] == 1] == [(1, "a", 1.0), (1, "a", 1.0), (1, "c", 1.0)]
+    assert [r[1] for r in small[0] if r[0] is None] == ["A", "c", "c"] and [r for r in small[0] if r[0] == 2] == [(2, "A", 0.0)] * 2
+    assert sum(r[:2] == (1, "b") for r in small[1]) == 2 and len(small[0]) == 8
+    monkeypatch.setattr(similarity, "MOST_WEIGHTS", 3)
+    assert (best(), top()) == small
+    none = similarity.best_match(texts, "k", "t", patterns.where("false"), "p", "t").collect()
+    assert len(none) == 8 and {(r.p, r.similarity) for r in none} == {(None, 0.0)}
+
+
+PATTERNS = [(0, "p0", "otp_pin", "please share your otp now"), (1, "p1", "courier", "your parcel is held at customs")]
+
+
+def test_streams_match_patterns_as_batches_do(spark, tmp_path, monkeypatch):
+    patterns = spark.createDataFrame(PATTERNS, "ord int, id string, category string, text string")
+    source = spark.createDataFrame([*[tuple(r) for r in ROWS], (90, "your parcel is held at customs", None, "text"), (90, "lunch?", None, "text")], "message_id long, text string, sender string, input_type string")
+    source.write.parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema(source.schema).parquet(str(tmp_path / "in"))
+    cards = check_stream(read(), packs.SIGNALS, packs.MODEL, patterns)
+    q = cards.writeStream.outputMode("append").format("memory").queryName("cards").start()
+    q.processAllAvailable()
+    q.stop()
+    told = lambda df: sorted(df.select("message_id", "verdict", "risk_score", "pattern_id", F.round("similarity", 9), F.to_json("reasons_en"), "headline").collect(), key=str)
+    batch = told(check(source, packs.SIGNALS, patterns, packs.MODEL))
+    assert told(spark.table("cards")) == batch and any(r.pattern_id == "p1" for r in batch)
+    monkeypatch.setattr(similarity, "MOST_WEIGHTS", 3)
+    assert told(check(source, packs.SIGNALS, patterns, packs.MODEL)) == batch
+    with pytest.raises(ValueError, match="stream"):
+        check_stream(read(), packs.SIGNALS, packs.MODEL, patterns)
+
+
+def test_packs_are_refreshed_by_version(spark, monkeypatch):
+    kind = "ord int, id string, category string, text string"
+    versions = {1: PATTERNS[:1], 2: [(0, "q", "courier", "your parcel is held at customs")]}
+    now, made, seen = {"version": 1}, [], []
+    prepare = similarity.prepare
+    monkeypatch.setattr(similarity, "prepare", lambda *a: made.append(now["version"]) or prepare(*a))
+    run = refreshed(lambda: {"version": now["version"], "pack": packs.SIGNALS, "patterns": spark.createDataFrame(versions[now["version"]], kind)}, lambda df, n: seen.append((n, [r.pattern_id for r in df.collect()])))
+    batch = spark.createDataFrame([(1, "your parcel is held at customs", None, "text")], "message_id long, text string, sender string, input_type string")
+    for number, version in enumerate([1, 1, 2, 2]):
+        now["version"] = version
+        run(batch, number)
+    assert made == [1, 2] and seen == [(0, ["p0"]), (1, ["p0"]), (2, ["q"]), (3, ["q"])]
+
+
 def test_unreadable_and_calm_cards(spark):
     rows = [(1, "আপনার অ্যাকাউন্ট বন্ধ হয়ে যাবে আজ", None, "text"), (2, "see you at dinner", None, "text"), (3, "share your otp now and pay rs 500", None, "text")]
     cards = {r.message_id: r for r in check(spark.createDataFrame(rows, "message_id long, text string, sender string, input_type string"), packs.SIGNALS).collect()}
