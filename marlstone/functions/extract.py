@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -40,6 +41,13 @@ AMOUNT = re.compile(
     rf"|(?<![\d.,]){_NUMBER}\s?(?:{_UNIT}\s?)?(?:rupees?\b|rs\b\.?|inr\b|रुपये|रुपए|रूपए|रूपये|रुपया|रूपया|रुपयों|/-)",
     re.IGNORECASE,
 )
+# Where links, handles, mobiles and amounts can be at all: a scan for these is far cheaper than trying their patterns everywhere.
+LINK_SIGN = re.compile(r"\.(?=\S)|://")
+AT_SIGN = re.compile("@")
+BLANK = re.compile(r"\s")
+FIVE_DIGITS = re.compile(r"\d{5,}")
+DIGITS = re.compile(r"\d+")
+CURRENCY = re.compile(r"(?:₹|\brs\.?|\binr|\brupees?|रु\.?|रुपये|रुपए)\s?\Z", re.IGNORECASE)
 STOP = re.compile(r"[.!?।\n]")
 # Cue words of a demand and of a bait.
 PAY = re.compile(
@@ -67,6 +75,10 @@ SCRIPTS = {
 }
 
 
+#: A sign of one of these scripts, or of Devanagari.
+TOLD_APART = re.compile("[\u0900-\u097f" + "".join(SCRIPTS.values()) + "]")
+
+
 @dataclass(frozen=True)
 class Link:
     raw: str
@@ -76,10 +88,45 @@ class Link:
     tld: str
 
 
+def words_with(sign: re.Pattern, text: str) -> Iterator[str]:
+    """The text's words between blanks that hold the sign. Patterns that hold it and no blank find in them what they find in the text."""
+    low = 0
+    while m := sign.search(text, low):
+        start = m.start()
+        while start > low and not text[start - 1].isspace():
+            start -= 1
+        end = BLANK.search(text, m.start())
+        low = end.start() if end else len(text)
+        yield text[start:low]
+
+
+def mobile_matches(text: str) -> Iterator[re.Match]:
+    """MOBILE.finditer(text): a number begins with the five digits or more of one run, or up to four signs before."""
+    low = 0
+    for run in FIVE_DIGITS.finditer(text):
+        for start in range(max(low, run.start() - 4), run.start() + 1):
+            if m := MOBILE.match(text, start):
+                low = m.end()
+                yield m
+                break
+
+
+def amount_matches(text: str) -> Iterator[re.Match]:
+    """AMOUNT.finditer(text): an amount begins with a run of digits, or with the currency right before one."""
+    low = 0
+    while run := DIGITS.search(text, low):
+        start = run.start()
+        before = CURRENCY.search(text, max(low, start - 9), start)
+        m = (before and AMOUNT.match(text, before.start())) or AMOUNT.match(text, start)
+        low = m.end() if m else run.end()
+        if m:
+            yield m
+
+
 def links(text: str) -> list[Link]:
     """The first link of each host, without trailing punctuation, port or leading www."""
     found: dict[str, Link] = {}
-    for m in LINK.finditer(text):
+    for m in (m for word in words_with(LINK_SIGN, text) for m in LINK.finditer(word)):
         raw = m[0].rstrip(""".,;:!?)]}"'""")
         host, _, path = re.sub("^https?://", "", raw, flags=re.IGNORECASE).partition("/")
         host = host.split(":")[0].lower().removeprefix("www.")
@@ -93,7 +140,7 @@ def _digits(text: str) -> str:
 
 
 def mobiles(text: str) -> list[str]:
-    return list(dict.fromkeys(_digits(m[1]) for m in MOBILE.finditer(text)))
+    return list(dict.fromkeys(_digits(m[1]) for m in mobile_matches(text)))
 
 
 def chat_numbers(found: list[Link]) -> list[str]:
@@ -117,7 +164,7 @@ def _value(m: re.Match) -> float:
 
 
 def amounts(text: str) -> list[float]:
-    return [_value(m) for m in AMOUNT.finditer(text)]
+    return [_value(m) for m in amount_matches(text)]
 
 
 def money_at_risk(text: str) -> float:
@@ -126,7 +173,7 @@ def money_at_risk(text: str) -> float:
     Each amount takes the nearest cue word of its sentence; a demand wins a tie.
     """
     asked, bare, known = [0.0], [0.0], {}
-    found = list(AMOUNT.finditer(text))
+    found = list(amount_matches(text))
     stops = [m.start() for m in STOP.finditer(text)] if found else []
     for m in found:
         before, after = bisect_left(stops, m.start()), bisect_left(stops, m.end())
@@ -150,7 +197,7 @@ def _nearest(span: tuple[int, int], cues: list[tuple[int, int]]) -> int | None:
 
 def handles(text: str) -> list[str]:
     """Payment handles, not e-mail addresses, in lower case."""
-    return list(dict.fromkeys(m[1].lower() for m in HANDLE.finditer(text)))
+    return list(dict.fromkeys(m[1].lower() for word in words_with(AT_SIGN, text) for m in HANDLE.finditer(word)))
 
 
 def sender_kind(sender: str | None) -> str | None:
@@ -177,6 +224,8 @@ def language(text: str) -> str:
 
 def unread_script(text: str) -> str | None:
     """The script that a message is largely in and that isn't read; mr for Marathi; of unfolded text."""
+    if not TOLD_APART.search(text):
+        return None
     letters = [c for c in text if c.isalpha()]
     joined = "".join(letters)
     counts = {name: len(re.findall(f"[{span}]", joined)) for name, span in SCRIPTS.items()}
@@ -196,22 +245,29 @@ money_at_risk_col = udf(money_at_risk, "double")
 unread_script_col = udf(unread_script, "string")
 
 
+def _where(able: Column, found: Column) -> Column:
+    """found, which is an empty array where the text isn't able to have any; a null text stays null."""
+    return F.when(~able, F.array().cast("array<string>")).otherwise(found)
+
+
 def mobiles_col(text: Column) -> Column:
     """mobiles() in Catalyst, for ASCII digits."""
-    found = F.regexp_extract_all(text, F.lit(r"(?<!\d)(?:\+?91[\s-]?|0)?([6-9]\d{4}[\s-]?\d{5})(?!\d)"), F.lit(1))
+    found = _where(text.rlike(r"[6-9]\d{4}"), F.regexp_extract_all(text, F.lit(r"(?<!\d)(?:\+?91[\s-]?|0)?([6-9]\d{4}[\s-]?\d{5})(?!\d)"), F.lit(1)))
     return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"\D", "")))
 
 
 def toll_free_col(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(?<!\d)(18[06]0[\s-]?\d{3}[\s-]?\d{3,4})(?!\d)"), F.lit(1)), lambda x: F.regexp_replace(x, r"\D", ""))
+    found = F.regexp_extract_all(text, F.lit(r"(?<!\d)(18[06]0[\s-]?\d{3}[\s-]?\d{3,4})(?!\d)"), F.lit(1))
+    return F.transform(_where(text.contains("1800") | text.contains("1860"), found), lambda x: F.regexp_replace(x, r"\D", ""))
 
 
 def series_1600_col(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?<!\d)(1600\d{6})(?!\d)"), F.lit(1))
+    return _where(text.contains("1600"), F.regexp_extract_all(text, F.lit(r"(?<!\d)(1600\d{6})(?!\d)"), F.lit(1)))
 
 
 def handles_col(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(r"(?i)(?<![\p{L}\p{N}_.@-])([a-z0-9][a-z0-9._-]{1,255}@[a-z][a-z0-9]{1,63})(?![\p{L}\p{N}_@]|\.[a-z])"), F.lit(1))
+    found = _where(text.contains("@"), found)
     return F.array_distinct(F.transform(found, F.lower))
 
 
